@@ -27,5 +27,14 @@ ORACLES: dict[str, str] = {
 }
 
 
+ORACLES["p5_found"] = """
+WITH d AS (SELECT DISTINCT idx, doc_type, text_norm FROM dedup_record WHERE doc_type IS NOT NULL AND length(text_norm) >= 80),
+w AS (SELECT DISTINCT idx, doc_type, unnest(string_split(text_norm, ' ')) AS word FROM d),
+x AS (SELECT * FROM w WHERE word <> ''),
+n AS (SELECT idx, count(*) AS n FROM x GROUP BY idx),
+c AS (SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS common FROM x a JOIN x b ON a.doc_type = b.doc_type AND a.word = b.word AND a.idx < b.idx GROUP BY ALL)
+SELECT idx_a, idx_b FROM c JOIN n p ON p.idx = idx_a JOIN n q ON q.idx = idx_b WHERE common * 5 >= (p.n + q.n - common) * 4"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
 from ..sources.tables import table
-from .components import record_groups
+from .components import connected_groups, record_groups
+from .nearsets import alike_pairs, alike_sets
 from .survivors import golden_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,5 +30,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return record_groups(table(spark, folder, "dedup_record"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return alike_pairs(*alike_sets(table(spark, folder, "dedup_record"), "idx", "doc_type", "text_norm"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each record: its class of copies, its group and the number of
+    other classes it is alike to."""
+    members, pairs = alike_sets(table(spark, folder, "dedup_record"), "idx", "doc_type", "text_norm")
+    pairs = cut(pairs, "pairs")
+    groups = connected_groups(pairs.select(F.col("ha").alias("u"), F.col("hb").alias("v")))
+    n = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
+    out = members.join(groups.withColumnRenamed("id", "h"), "h", "left").join(n, "h", "left")
+    return out.select("idx", F.col("h").alias("class_id"), F.coalesce("group", "h").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
