@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.cut import cut
 from ..sources.tables import table
 from .components import connected_groups, record_groups
+from .names import name_pairs, nicknames, same_names
 from .nearsets import alike_pairs, alike_sets
 from .survivors import golden_records
 
@@ -30,6 +31,21 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return record_groups(table(spark, folder, "dedup_record"))
 
 
+def _entities(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "dedup_record", "entity_name").unionByName(table(spark, folder, "doc_metadata", "entity_name"))
+    return same_names(names.withColumnRenamed("entity_name", "name"), nicknames(table(spark, folder, "name_alias")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return name_pairs(_entities(spark, folder))
+
+
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each spelling with one spelling that stands for its entity."""
+    e = _entities(spark, folder)
+    return e.join(e.groupBy("entity").agg(F.min("name").alias("entity_name"), F.count("*").alias("spellings")), "entity").select("name", "entity_name", "spellings")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_pairs(*alike_sets(table(spark, folder, "dedup_record"), "idx", "doc_type", "text_norm"))
 
