@@ -12,6 +12,7 @@ from ..sources.tables import table
 from .components import connected_groups, record_groups
 from .names import name_pairs, nicknames, same_names
 from .nearsets import alike_pairs, alike_sets
+from .pii import personal_items, redacted
 from .survivors import golden_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,5 +62,20 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("idx", F.col("h").alias("class_id"), F.coalesce("group", "h").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _words(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
+    """Two small fixed tables: ordinary words, and given names in all forms."""
+    common = [r["word"] for r in table(spark, folder, "lexicon", "word").limit(100_000).collect() if r["word"]]
+    given = [x for r in table(spark, folder, "name_alias").limit(100_000).collect() for x in r if x]
+    return common, given
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_items(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", *_words(spark, folder)).select("doc_id", "line_no", "kind").distinct()
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redacted(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", *_words(spark, folder))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
