@@ -18,7 +18,8 @@ T-occurrence problem, solved as DivideSkip does:
 * what was set aside is probed, for each pair met in a run, through a 128-bit
   parity sketch of all cells at once: its Hamming distance never exceeds the
   symmetric difference, so no alike pair is lost,
-* pairs that are left are checked exactly on their words.
+* pairs that are left pass a sketch of 512 bits of the same kind and are
+  checked exactly on their words.
 
 ``m`` follows from the size class (steps of ``1 / t``) of the larger record; the
 smaller one is in the same class or the one below, so each record is listed for
@@ -59,7 +60,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 def word_hashes(text: Column) -> Column:
     """The distinct words of ``text``, separated by blanks, hashed and sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
 
 
 class Classes:
@@ -94,23 +95,61 @@ def _tokens(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.diff(off)
 
 
-def _frequencies(docs: DataFrame) -> np.ndarray:
-    """Number of records in which a word of each bucket occurs, over all of them."""
+def _sketches(flat: np.ndarray, size: np.ndarray, bits: int, salt: int) -> np.ndarray:
+    """Of each record, the parity of the number of its words on each of ``bits``
+    bits: two sketches differ in no more bits than the sets in words."""
+    odd = np.zeros((len(size), bits), np.uint8)
+    np.add.at(odd, (np.repeat(np.arange(len(size)), size), (_mix(flat, salt) & _U(bits - 1)).astype(np.int64)), 1)
+    return np.packbits(odd & 1, axis=1)
+
+
+_SEEN = "idx {}, h long, size int, sketch binary, bucket int, n long"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            flat, _ = _tokens(b, "toks")
-            total += np.bincount((_mix(flat, 11) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of each record (idx, h, size and a sketch of 512 bits), and of each
+    bucket the number of records in which a word of it occurs."""
+    total = np.zeros(BUCKETS, np.int64)
+    none = lambda n, t: pa.nulls(n, t)
+    names = ["idx", "h", "size", "sketch", "bucket", "n"]
+    kind = pa.int64()
+    for b in batches:
+        flat, size = _tokens(b, "toks")
+        total += np.bincount((_mix(flat, 11) % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        k, kind = len(size), b.column("idx").type
+        off = pa.py_buffer((np.arange(k + 1, dtype=np.int32) * 64).tobytes())
+        sketch = pa.BinaryArray.from_buffers(pa.binary(), k, [None, off, pa.py_buffer(_sketches(flat, size, 512, 29).tobytes())])
+        yield pa.RecordBatch.from_arrays([b.column("idx"), b.column("h"), pa.array(size.astype(np.int32)), sketch, none(k, pa.int32()), none(k, pa.int64())], names)
+    at = np.nonzero(total)[0]
+    k = len(at)
+    if k:
+        yield pa.RecordBatch.from_arrays([none(k, kind), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary()), pa.array(at.astype(np.int32)), pa.array(total[at])], names)
+
+
+def _frequencies(seen: DataFrame) -> np.ndarray:
+    """Number of records in which a word of each bucket occurs, over all of them."""
     out = np.zeros(BUCKETS, np.int64)
-    rows = docs.select("toks").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
+def _near(t: float):
+    """Keep the candidates (ha, hb, na, nb, sa, sb) whose longer sketches allow it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Classes(t)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in ("sa", "sb")]
+            d = np.bitwise_count(s[0] ^ s[1]).sum(1, dtype=np.int64)
+            both = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+            yield b.select(["ha", "hb"]).filter(pa.array(d <= c.differ(both)))
+
+    return run
+
+
 def _emitter(t: float, freq: np.ndarray, spread: int):
     """Rows (part, h, n, s0, s1, role, keys) of the short lists of each record,
     those for one part of the shuffle packed together."""
@@ -135,10 +174,7 @@ def _emitter(t: float, freq: np.ndarray, spread: int):
             pick = np.repeat(fresh, size)
             flat, h, n = flat[pick], h[fresh], size[fresh].astype(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
-            bit = (_mix(flat, 23) & _U(127)).astype(np.int64)
-            sketch = np.zeros((len(n), 128), np.uint8)
-            np.add.at(sketch, (doc, bit), 1)
-            s = np.packbits(sketch & 1, axis=1).view(np.uint64)
+            s = _sketches(flat, n, 128, 23).view(np.uint64)
             w = weight[(_mix(flat, 11) % _U(BUCKETS)).astype(np.int64)]
             base, own, value = _mix(flat, 37), c.of(n), _mix(flat, 53)
             outs = []
@@ -303,15 +339,16 @@ def alike_sets(records: DataFrame, idx: str, block: str, text: str, t: float = 0
 
     A null idx, block or text, or a text of fewer than ``min_chars`` characters,
     takes no part, nor does a text of blanks only.  Repeated rows count once.
-    Texts are used whole, however long.  Two tables come from one pass over the
-    data each; nothing but word frequencies in a fixed number of buckets reaches
+    Texts are used whole, however long.  Nothing but word frequencies in a fixed number of buckets reaches
     the driver.
     """
     spark = records.sparkSession
     base = records.select(F.col(idx).alias("idx"), F.col(block).cast("string").alias("b"), F.col(text).alias("text"))
     base = base.where(F.col("idx").isNotNull() & F.col("b").isNotNull() & (F.length("text") >= min_chars))
     docs = base.select("idx", F.xxhash64("b").alias("block"), word_hashes(F.col("text")).alias("toks"), "text").withColumn("h", F.xxhash64("block", "toks")).where(F.size("toks") > 0)
-    freq = _frequencies(docs)
+    kind = records.schema[idx].dataType.simpleString()
+    seen = cut(docs.select("idx", "h", "toks").mapInArrow(_survey, _SEEN.format(kind)), "seen")
+    freq = _frequencies(seen)
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lists = docs.select("h", "block", "toks").mapInArrow(_emitter(t, freq, spread), _LISTS)
     met = cut(lists.repartition(spread, "part").mapInArrow(_merger(t, long), _MET), "met")
@@ -320,8 +357,14 @@ def alike_sets(records: DataFrame, idx: str, block: str, text: str, t: float = 0
         cand = cand.unionByName(_long_lists(met, t, long))
     cand = cut(cand.distinct(), "cand")
     drop(met)
-    members = docs.select("idx", "h").distinct()
-    # The exact check, on the words of one record of each class that is met.
+    members = seen.where("h is not null").select("idx", "h").distinct()
+    sketch = seen.where("h is not null").groupBy("h").agg(F.first("size").alias("n"), F.first("sketch").alias("s"))
+    one = cand.join(sketch.select(F.col("h").alias("ha"), F.col("n").alias("na"), F.col("s").alias("sa")), "ha")
+    two = one.join(sketch.select(F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("s").alias("sb")), "hb")
+    wide = cand
+    cand = cut(two.select("ha", "hb", "na", "nb", "sa", "sb").mapInArrow(_near(t), "ha long, hb long"), "near")
+    drop(wide)
+    # The exact check, on the words of one record of each class that is left.
     need = cand.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     words = docs.select("h", "toks").join(need, "h", "left_semi").dropDuplicates(["h"])
     one = cand.join(words.select(F.col("h").alias("ha"), F.col("toks").alias("ta")), "ha")
