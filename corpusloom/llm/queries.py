@@ -13,6 +13,7 @@ from .components import connected_groups, record_groups
 from .names import name_pairs, nicknames, same_names
 from .nearsets import alike_pairs, alike_sets
 from .pii import personal_items, redacted
+from .scans import scan_noise
 from .survivors import golden_records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,14 @@ def _entities(spark: SparkSession, folder: str) -> DataFrame:
     return same_names(names.withColumnRenamed("entity_name", "name"), nicknames(table(spark, folder, "name_alias")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise(table(spark, folder, "extracted_doc", "idx", "text"), "idx", "text", _words(spark, folder)[0]).distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise(table(spark, folder, "extracted_doc", "idx", "text").distinct(), "idx", "text", _words(spark, folder)[0], repair=True)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return name_pairs(_entities(spark, folder))
 
