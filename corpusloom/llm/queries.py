@@ -13,6 +13,7 @@ from .components import connected_groups, record_groups
 from .names import name_pairs, nicknames, same_names
 from .nearsets import alike_pairs, alike_sets
 from .pii import personal_items, redacted
+from .residue import residue
 from .scans import scan_noise
 from .survivors import golden_records
 
@@ -71,6 +72,14 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("idx", F.col("h").alias("class_id"), F.coalesce("group", "h").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue(table(spark, folder, "extracted_doc", "idx", "text"), "idx", "text").select("idx")
+
+
+def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return residue(table(spark, folder, "extracted_doc", "idx", "text"), "idx", "text")
+
+
 def _words(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
     """Two small fixed tables: ordinary words, and given names in all forms."""
     common = [r["word"] for r in table(spark, folder, "lexicon", "word").limit(100_000).collect() if r["word"]]
