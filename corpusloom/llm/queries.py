@@ -12,10 +12,12 @@ from ..sources.tables import table
 from .components import connected_groups, record_groups
 from .names import name_pairs, nicknames, same_names
 from .nearsets import alike_pairs, alike_sets
+from .packing import CAPACITY, fill_report, packed, token_items
 from .pii import personal_items, redacted
 from .residue import residue
 from .scans import scan_noise
 from .survivors import golden_records
+from .tokens import token_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +89,18 @@ def _words(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
     return common, given
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(token_items(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", CAPACITY))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(p8_containers(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_items(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", *_words(spark, folder)).select("doc_id", "line_no", "kind").distinct()
 
