@@ -8,7 +8,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -17,6 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_written: list[str] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Tables on a file system of this machine, or mounted on it, go with the process."""
+    for path in _written:
+        if path.startswith(("file:", "/")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +49,7 @@ def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     until ``drop`` is called with the result or the folder is removed.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{tag}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
@@ -60,6 +69,3 @@ def drop(*frames: DataFrame) -> None:
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
