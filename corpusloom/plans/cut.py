@@ -42,14 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, swept like the tables of ``cut``."""
+    _written.append(f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:12]}")
+    return _written[-1]
+
+
 def cut(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it.
 
     Columns keep names and types; an empty frame stays empty.  The table lives
     until ``drop`` is called with the result or the folder is removed.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{tag}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    path = scratch(df.sparkSession, f"cut-{tag}")
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path

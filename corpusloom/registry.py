@@ -15,7 +15,7 @@ from .operators import dedupe as D
 from .operators import layout as L
 from .operators import metadata as M
 from .operators import report as R
-from .plans.cut import cut, shared_folder
+from .plans.cut import cut, scratch
 from .plans.pipeline import analyse
 from .sources import files as S
 from .sources.sinks import flat
@@ -420,9 +420,7 @@ def corpus_report(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each hour and type, counted by a stream that reads the table to its end."""
-    import uuid
-
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    at = scratch(spark, "stream")
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
     # a stream takes a folder or, as a pattern, a single file
