@@ -109,7 +109,7 @@ def read_name(s: str, trades: set[str], nick: dict[str, str]) -> tuple[list[str]
     p = re.sub(r"['’`]", "", p)
     p = re.sub(r"\bm/s\b\.?", " ", p).replace("&", " and ")
     p = re.sub(r"\b((?:[^\W\d_]\.){2,}[^\W\d_]?)", lambda m: m.group(1).replace(".", ""), p)
-    toks = re.findall(r"[^\W_]+", p)
+    toks = re.findall(r"[^\W_]+", p) or re.findall(r"[^\W_]+", _plain(s)) or [s]
     toks = [t.translate(LOOKALIKE) if re.search(r"\d", t) and re.search(r"[^\W\d]", t) else t for t in toks]
     while len(toks) > 1 and toks[0] in TITLES:
         toks = toks[1:]
