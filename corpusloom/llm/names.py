@@ -165,6 +165,7 @@ def soft_match(a: list[str], wa: list[float], b: list[str], wb: list[float]) ->
             if hit:
                 one.remove(x)
                 two.remove(hit[0])
+                got += 0.5 * {**A, **B}[x] * {**A, **B}[hit[0]]
                 initial = True
     norm = math.sqrt(sum(w * w for w in wa)) * math.sqrt(sum(w * w for w in wb))
     return (got / norm if norm and edits <= 3 else 0.0), left, right, initial
