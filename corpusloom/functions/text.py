@@ -10,9 +10,10 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no such function."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -46,8 +47,7 @@ def text_hash(norm: Column) -> Column:
 def file_words(name: Column) -> Column:
     """A file name as words: no folder and suffix, camel case and separators split."""
     base = F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/]*)$", 1)
-    stem = F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "")
-    stem = F.when(base.rlike(r"\.$"), base).otherwise(stem)
+    stem = F.regexp_replace(base, r"(?<=.)\.[^.]+$", "")
     return F.lower(F.regexp_replace(F.regexp_replace(stem, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[_\-.]+", " "))
 
 
