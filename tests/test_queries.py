@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpusloom import registry
@@ -14,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def plain(v):
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
