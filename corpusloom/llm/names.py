@@ -228,12 +228,20 @@ def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5)
                 g = np.asarray(g, np.int64)
                 g = g[np.lexsort((g, freq[g % BUCKETS]))]
                 keep = len(g) - math.ceil(SHARE * len(g) - 1e-9) + 1
-                out += [(int(x), i, len(g)) for x in g[:keep]]
-            yield pd.DataFrame(out, columns=["g", "id", "n"])
-
-    pre = keys.select("id", "grams").mapInPandas(prefixes, "g long, id long, n int")
-    a, b = pre.select("g", F.col("id").alias("a"), F.col("n").alias("p")), pre.select("g", F.col("id").alias("b"), F.col("n").alias("q"))
-    met = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("p", "q") >= F.greatest("p", "q") * SHARE)).select("a", "b").distinct()
+                # two numbers that differ in no more bits than the sets in grams
+                sketch = [0, 0]
+                for x in g.tolist():
+                    bit = (x * 2654435761 >> 7) & 127
+                    sketch[bit >> 6] ^= 1 << (bit & 63)
+                s, t = (x - (1 << 64) if x >> 63 else x for x in sketch)
+                out += [(int(x), i, len(g), s, t) for x in g[:keep]]
+            yield pd.DataFrame(out, columns=["g", "id", "n", "s", "t"])
+
+    pre = keys.select("id", "grams").mapInPandas(prefixes, "g long, id long, n int, s long, t long")
+    a, b = (pre.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "s", "t")]) for k in "ab")
+    differ = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) + F.bit_count(F.col("t_a").bitwiseXOR(F.col("t_b")))
+    met = a.join(b, "g").where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SHARE) & (differ <= (1 - SHARE) / (1 + SHARE) * (F.col("n_a") + F.col("n_b")) + 1e-9))
+    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     left = keys.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "core", "trade", "grams", "w")])
     right = keys.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "core", "trade", "grams", "w")])
     pairs = met.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
