@@ -45,6 +45,8 @@ from ..plans.cut import cut, drop, is_empty
 SPARE = 2
 #: Longest list merged in one task; longer ones are cut into blocks of about half that.
 LONG = 8192
+#: Records for each part of the lists.
+RECORDS = 25_000
 #: Buckets of the word frequencies that order the lists; a fixed number.
 BUCKETS = 1 << 16
 
@@ -349,7 +351,8 @@ def alike_sets(records: DataFrame, idx: str, block: str, text: str, t: float = 0
     kind = records.schema[idx].dataType.simpleString()
     seen = cut(docs.select("idx", "h", "toks").mapInArrow(_survey, _SEEN.format(kind)), "seen")
     freq = _frequencies(seen)
-    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a part of the lists fits a task, whatever the number of shuffle partitions
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.where("h is not null").count() // RECORDS))
     lists = docs.select("h", "block", "toks").mapInArrow(_emitter(t, freq, spread), _LISTS)
     met = cut(lists.repartition(spread, "part").mapInArrow(_merger(t, long), _MET), "met")
     cand = met.where("part = 0").select("ha", "hb")
