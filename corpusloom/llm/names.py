@@ -6,7 +6,9 @@
    Strings with the same reading are one *reading*.
 2. A prefix-filtered set-similarity join on the 4-grams of the core tokens
    finds readings that share enough grams; the rarest grams come first, counted
-   over all readings in a fixed number of buckets.
+   over all readings in a fixed number of buckets.  Short tokens lose most grams
+   by one edit, so readings also meet by deletion forms of their tokens, which
+   leave out no pair that the next step can accept (``form_pairs``).
 3. ``soft_match`` verifies each pair: tokens match when equal or nearly so, a
    merged token matches the two it was made of, an initial its name, and each
    counts by its rarity over all readings.  If both sides keep a token the
@@ -55,6 +57,10 @@ LOOKALIKE = str.maketrans("013458", "oleasb")
 Q = 4
 SHARE = 0.4
 BUCKETS = 1 << 16
+#: Readings with a form in common up to which all of them are compared.
+FEW = 24
+#: Tokens of a reading up to which each two are also taken as one.
+MERGED = 16
 
 _LEGAL = sorted(LEGAL, key=len, reverse=True)
 
@@ -175,6 +181,89 @@ def _grams(core: list[str]) -> set[int]:
     return {zlib.crc32(g.encode()) for t in core if len(t) > 1 for p in [f" {t} "] for g in ({p[i : i + Q] for i in range(len(p) - Q + 1)} or {p})}
 
 
+def _forms(t: str) -> set[str]:
+    """What is left of a token without one letter, or two where ``soft_match``
+    allows two edits: tokens that it takes as nearly equal have one in common."""
+    out = {t}
+    if len(t) >= 4:
+        out |= {t[:i] + t[i + 1 :] for i in range(len(t))}
+    if len(t) >= 9:
+        out |= {t[:i] + t[i + 1 : j] + t[j + 1 :] for j in range(len(t)) for i in range(j)}
+    return out
+
+
+def _units(core: list[str]) -> Iterator[tuple[str, int, int]]:
+    """(form, position, second position or -1) of each token, and of each two
+    tokens as one."""
+    for p, t in enumerate(core):
+        yield from ((f, p, -1) for f in _forms(t))
+    if len(core) <= MERGED:
+        for p, y in enumerate(core):
+            for q, z in enumerate(core):
+                if p != q and len(y) + len(z) >= 6:
+                    t = y + z
+                    yield from ((f, p, q) for f in {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))})
+
+
+def _wide_keys(core: list[str], trade: str, forms: list[tuple[int, int, int]]) -> set[tuple[str, int]]:
+    """(key, role) of a reading by its forms that many have.  Readings that
+    ``soft_match`` accepts have two such forms in common, or one and nothing else,
+    or one and a token that only one of them has, or one and an initial."""
+    out: set[tuple[str, int]] = set()
+    for k, (f, p, q) in enumerate(forms):
+        rest = [t for i, t in enumerate(core) if i not in (p, q)]
+        if not rest:
+            out |= {(f"= {f}", 0), (f"+ {f} {trade}", 1)}
+        if len(rest) == 1:
+            out.add((f"+ {f} {trade}", 2))
+        out |= {(f". {f} {t[0]} {trade}", 1 if len(t) == 1 else 2) for t in rest}
+        out |= {(f"& {min(f, g)} {max(f, g)}", 0) for g, i, j in forms[:k] if not {i, j} & {p, q} - {-1}}
+    return out
+
+
+def _initial_keys(core: list[str], trade: str) -> list[tuple[str, int]]:
+    """(key, role) by which readings meet of which every token is an initial on
+    one side and written out on the other."""
+    own, other = (" ".join(sorted(t[0] + ("." if (len(t) == 1) == x else "") for t in core)) for x in (True, False))
+    return [(f"! {other} {trade}", 2), *([(f"! {own} {trade}", 1)] if any(len(t) == 1 for t in core) else [])]
+
+
+def form_pairs(keys: DataFrame, few: int = FEW) -> DataFrame:
+    """(a, b), a < b, of readings (id, core, trade) that ``soft_match`` may accept:
+    every pair that it does accept, with a trade word that isn't another, is here.
+
+    Readings with a form in common that at most ``few`` have are all compared.  Of
+    forms that more have, readings need two, or whatever else makes the pair
+    acceptable, so the number of pairs grows with the readings and not with their
+    square.  The bound of it: tokens of readings with more than ``MERGED`` aren't
+    taken as one.
+    """
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(i, *u) for i, core in zip(pdf["id"], pdf["core"]) for u in _units(list(core))], columns=["id", "f", "p", "q"])
+
+    def widen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(i, *k) for i, core, trade, forms in zip(pdf["id"], pdf["core"], pdf["trade"], pdf["forms"]) for k in _wide_keys(list(core), trade or "", [(x["f"], x["p"], x["q"]) for x in forms])], columns=["id", "k", "role"])
+
+    def initials(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([(i, *k) for i, core, trade in zip(pdf["id"], pdf["core"], pdf["trade"]) for k in _initial_keys(list(core), trade or "")], columns=["id", "k", "role"])
+
+    forms = cut(keys.select("id", "core").mapInPandas(spread, "id long, f string, p int, q int").select("id", F.xxhash64("f").alias("f"), "p", "q"), "forms")
+    n = cut(forms.groupBy("f").agg(F.count_distinct("id").alias("n")).where("n > 1"), "form counts")
+    narrow = forms.join(n.where(F.col("n") <= few), "f").select("id", F.col("f").alias("k"), F.lit(0).alias("role")).distinct()
+    shared = forms.join(n.where(F.col("n") > few), "f").groupBy("id").agg(F.collect_set(F.struct("f", "p", "q")).alias("forms"))
+    wide = keys.select("id", "core", "trade").join(shared, "id").mapInPandas(widen, "id long, k string, role int")
+    wide = wide.unionByName(keys.select("id", "core", "trade").mapInPandas(initials, "id long, k string, role int"))
+    rows = narrow.unionByName(wide.select("id", F.xxhash64("k").alias("k"), "role")).join(keys.select("id", "trade"), "id")
+    rows = cut(rows, "form keys")
+    a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "role", "trade")]) for x in "ab")
+    met = a.join(b, "k").where("id_a < id_b and (role_a + role_b) in (0, 3) and (trade_a is null or trade_b is null or trade_a = trade_b)")
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def name_readings(names: DataFrame, trades: set[str], nick: dict[str, str]) -> DataFrame:
     """(name, key, core, trade, grams) of each distinct string of column ``name``."""
 
@@ -241,12 +330,10 @@ def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5)
     a, b = (pre.select("g", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "s", "t")]) for k in "ab")
     differ = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) + F.bit_count(F.col("t_a").bitwiseXOR(F.col("t_b")))
     met = a.join(b, "g").where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SHARE) & (differ <= (1 - SHARE) / (1 + SHARE) * (F.col("n_a") + F.col("n_b")) + 1e-9))
-    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    left = keys.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "core", "trade", "grams", "w")])
-    right = keys.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "core", "trade", "grams", "w")])
-    pairs = met.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    pairs = pairs.where(common >= SHARE * (F.size("grams_a") + F.size("grams_b") - common)).where("trade_a is null or trade_b is null or trade_a = trade_b")
+    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).unionByName(form_pairs(keys)).distinct()
+    left = keys.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "core", "trade", "w")])
+    right = keys.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "core", "trade", "w")])
+    pairs = met.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).where("trade_a is null or trade_b is null or trade_a = trade_b")
 
     def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

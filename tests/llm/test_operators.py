@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_groups, record_groups, record_links
-from corpusloom.llm.names import name_pairs, osa, read_name, same_names
+from corpusloom.llm.names import form_pairs, name_pairs, osa, read_name, same_names, soft_match
 from corpusloom.llm.nearsets import Classes, alike_pairs, alike_sets
 from corpusloom.llm.packing import fill_report, packed, plan, token_items
 from corpusloom.llm.residue import has_field, has_filler, residue, trust
@@ -163,6 +163,42 @@ def test_same_names(spark):
     assert same_names(spark.createDataFrame([], "name string"), {}).count() == 0
 
 
+def test_swap_inside_a_short_token(spark):
+    a = ["Viumro Zuclape Technologies Ltd", "Vimuro Zuclape Technologies Ltd"]
+    b = ["Zawnolo Virolo Engineering FZCO", "Zanwolo Virolo Engineering FZC"]
+    df = spark.createDataFrame([(n,) for n in a + b], "name string")
+    assert {tuple(r) for r in name_pairs(same_names(df, {})).collect()} == {tuple(sorted(a)), tuple(sorted(b))}
+
+
+@pytest.mark.parametrize("few", [1, 4, 24])
+def test_no_acceptable_pair_is_missed(spark, few):
+    r = random.Random(few)
+    tokens = ["".join(r.choice("abcdeiklmnoru") for _ in range(n)) for n in (1, 1, 3, 4, 5, 6, 7, 7, 8, 9, 10, 13)]
+
+    def bent(t):
+        for _ in range(r.choice((0, 0, 1, 1, 2))):
+            i = r.randrange(len(t))
+            t = r.choice((t[:i] + t[i + 1 :], t[:i] + r.choice("xyz") + t[i + 1 :], t[:i] + r.choice("xyz") + t[i:], t[:i] + t[i : i + 2][::-1] + t[i + 2 :])) or t
+        return t
+
+    rows = {}
+    for _ in range(420):
+        core = [bent(t) if r.random() < 0.5 else t for t in r.sample(tokens, r.choice((1, 1, 2, 2, 2, 3, 4)))]
+        if len(core) > 1 and r.random() < 0.3:
+            core = [core[0] + core[1], *core[2:]]
+        if r.random() < 0.2:
+            core[0] = core[0][0]
+        rows[tuple(sorted(core)), r.choice((None, "foods", "energy"))] = None
+    rows = [(i, list(c), t) for i, (c, t) in enumerate(rows)]
+    want = set()
+    for (i, a, s), (j, b, t) in itertools.combinations(rows, 2):
+        score, la, lb, initial = soft_match(a, [1.0] * len(a), b, [1.0] * len(b))
+        if score >= 0.5 - 1e-9 and not (la and lb) and (s is None or t is None or s == t) and len(la) + len(lb) + (s != t) + initial <= 1:
+            want.add((i, j))
+    got = {tuple(x) for x in form_pairs(spark.createDataFrame(rows, "id long, core array<string>, trade string"), few).collect()}
+    assert len(want) > 500 and not want - got
+
+
 # ---- residue
 
 
