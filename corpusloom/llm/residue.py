@@ -8,11 +8,14 @@
    clauses.  Filler words are learned from the corpus: those that mostly stand
    in lines with well-known filler.
 3. Near-duplicate classes are found with partitioned SimHash tables: fingerprints
-   of 64 bits in four parts, of which one is equal if at most three bits differ.
+   of 512 bits in 32 parts of 16, of which one differs in at most one bit.  Two
+   classes at the similarity differ in a fifth of the bits or less on average.
    Candidates are verified by Hamming distance and by the similarity of their
    words.
 4. Trusted residue labels spread through the connected components of these
-   links, unless a component holds a genuine class.
+   links, unless a component holds a genuine class.  Links between two genuine
+   classes change nothing and aren't looked for; genuine classes are looked up
+   only for components to which a label would spread.
 5. Unfilled fields and filler passages inside other texts mark those texts
    themselves, never their near-duplicates, in which the field may be filled.
 """
@@ -33,8 +36,11 @@ from pyspark.sql import functions as F
 from ..plans.cut import cut
 from .components import connected_groups
 
-BITS = 3
 SIMILAR = 0.8
+#: 64-bit words of a fingerprint, and most bits in which near-duplicates differ:
+#: at the similarity 0.12 to 0.19 of them do on average, in unrelated texts half.
+WIDTH = 8
+BITS = 128
 #: Longest text, in words, that can be a message by itself.
 MESSAGE_WORDS = 60
 
@@ -156,24 +162,77 @@ def _simhash(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_classes(seen: DataFrame, texts: DataFrame) -> DataFrame:
-    """(ha, hb) of classes that are near-duplicates.  ``seen``: (idx, h, size, f) of
-    each record, ``f`` its fingerprint; ``texts``: (idx, text).  Words are looked at
-    only where fingerprints agree; a class too long or short to reach the
-    similarity is in no table with the other."""
-    f = seen.where("size > 0").groupBy("h").agg(F.min("idx").alias("idx"), F.first("size").alias("size"), F.first("f").alias("f"))
-    # Size classes of the step of the similarity, and the one above.
-    size = F.floor(F.log(1 / SIMILAR, F.col("size").cast("double"))).cast("int")
-    part = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("f", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)])
-    rows = f.withColumn("c", F.explode(F.array(size, size + 1))).withColumn("p", F.explode(part)).withColumn("own", F.col("c") == size)
-    a, b = (rows.select("c", "p", *[F.col(x).alias(f"{x}_{k}") for x in ("h", "idx", "f", "own")]) for k in "ab")
-    met = a.join(b, ["c", "p"]).where((F.col("h_a") < F.col("h_b")) & (F.col("own_a") | F.col("own_b")) & (F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b"))) <= BITS))
-    met = cut(met.select(F.col("h_a").alias("ha"), F.col("h_b").alias("hb"), F.col("idx_a").alias("ia"), F.col("idx_b").alias("ib")).distinct(), "hamming")
-    need = met.select(F.explode(F.array("ia", "ib")).alias("idx")).distinct()
-    words = texts.join(need, "idx", "left_semi").dropDuplicates(["idx"]).select("idx", F.array_distinct(F.split(masked(F.col("text")), " ")).alias("toks"))
-    two = met.join(words.select(F.col("idx").alias("ia"), F.col("toks").alias("ta")), "ia").join(words.select(F.col("idx").alias("ib"), F.col("toks").alias("tb")), "ib")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return two.where(common >= SIMILAR * (F.size("ta") + F.size("tb") - common)).select("ha", "hb")
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of hashes, other ones for each seed."""
+    x = x + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _words(norm: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(norm, " "), lambda w: w != ""))
+
+
+def _size_class(words: Column) -> Column:
+    """Sizes by the step of the similarity; null for none."""
+    return F.floor(F.log(1 / SIMILAR, F.size(words).cast("double"))).cast("int")
+
+
+def class_prints(classes: DataFrame) -> DataFrame:
+    """(h, toks, c, f0, f1, ...) of classes (h, text) with a word: hashes of the
+    words, size class of the step of the similarity, fingerprint."""
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("toks")
+            flat, off = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
+            f = [pa.array(_simhash(_mixed(flat, k), off).view(np.int64)) for k in range(WIDTH)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), col, b.column("c"), *f], ["h", "toks", "c", *(f"f{k}" for k in range(WIDTH))])
+
+    toks = F.transform(_words(masked(F.col("text"))), lambda w: F.xxhash64(w))
+    t = classes.select("h", toks.alias("toks")).where(F.size("toks") > 0).withColumn("c", _size_class(F.col("toks")))
+    return t.mapInArrow(prints, f"h long, toks array<long>, c int, {', '.join(f'f{k} long' for k in range(WIDTH))}")
+
+
+def near_classes(some: DataFrame, others: DataFrame) -> DataFrame:
+    """(ha, hb) of classes of ``some`` and of ``others`` that are near-duplicates;
+    both are from ``class_prints``.  Words are looked at only where fingerprints
+    agree; a class too long or short to reach the similarity is in no table with
+    the other."""
+    part = F.explode(F.array(*[F.struct(F.lit(4 * k + j).alias("k"), F.shiftrightunsigned(f"f{k}", 16 * j).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(WIDTH) for j in range(4)]))
+    flip = F.explode(F.array(*[F.lit(x).cast("long") for x in (0, *(1 << j for j in range(16)))]))
+    a = some.select(F.col("h").alias("ha"), "c", part.alias("p")).select("ha", "c", F.col("p.k").alias("k"), F.col("p.v").alias("v"), flip.alias("x")).withColumn("v", F.col("v").bitwiseXOR(F.col("x"))).drop("x")
+    b = others.select(F.col("h").alias("hb"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), *[f"f{k}" for k in range(WIDTH)]).select("hb", "c", part.alias("p")).select("hb", "c", F.col("p.k").alias("k"), F.col("p.v").alias("v"))
+    # not sent to all tasks: the rows are many more than the statistics say
+    met = a.hint("merge").join(b.hint("merge"), ["c", "k", "v"]).where("ha <> hb").select("ha", "hb").distinct()
+    x, y = (t.select(F.col("h").alias(f"h{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("toks", *(f"f{k}" for k in range(WIDTH)))]) for t, s in ((some, "a"), (others, "b")))
+    differ = reduce(lambda m, n: m + n, [F.bit_count(F.col(f"f{k}_a").bitwiseXOR(F.col(f"f{k}_b"))) for k in range(WIDTH)])
+    two = met.join(x, "ha").join(y, "hb").where(differ <= BITS)
+    common = F.size(F.array_intersect("toks_a", "toks_b"))
+    return two.where(common >= SIMILAR * (F.size("toks_a") + F.size("toks_b") - common)).select("ha", "hb")
+
+
+def spread_labels(labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h) of the classes to which a trusted residue label spreads.  ``labels``: (h,
+    most, least, c, text) of each class, the text where none of it is genuine;
+    ``texts``: (h, text) of all."""
+    odd = cut(class_prints(labels.where("least >= 0")), "prints")
+    groups = connected_groups(near_classes(odd, odd).where("ha < hb").select(F.col("ha").alias("u"), F.col("hb").alias("v")))
+    of = groups.withColumnRenamed("id", "h").join(labels.select("h", "most"), "h")
+    # Only a group with a label and a class without needs to be free of genuine ones.
+    open_ = cut(of.join(of.groupBy("group").agg(F.max("most").alias("x"), F.min("most").alias("y")).where("x = 1 and y < 1"), "group").select("group", "h"), "open groups")
+    if open_.isEmpty():
+        return open_.select("h")
+    some = odd.join(open_.select("h"), "h", "left_semi")
+    # the size classes are as many as the logarithm of the longest text
+    reach = {r["c"] + x for r in some.select("c").distinct().collect() for x in (-1, 0, 1)}
+    need = cut(labels.where((F.col("least") < 0) & F.col("c").isin(*reach)).select("h"), "genuine")
+    if need.isEmpty():
+        return open_.select("h")
+    genuine = texts.join(need, "h", "left_semi").dropDuplicates(["h"])
+    held = near_classes(some, cut(class_prints(genuine), "genuine prints")).select(F.col("ha").alias("h")).distinct()
+    return open_.join(open_.join(held, "h").select("group").distinct(), "group", "left_anti").select("h")
 
 
 def residue(docs: DataFrame, idx: str, text: str) -> DataFrame:
@@ -189,24 +248,19 @@ def residue(docs: DataFrame, idx: str, text: str) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            col = b.column("toks")
-            flat, off = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), col.offsets.to_numpy()
             texts = b.column("text").to_pylist()
             inside = ["field" if has_field(t) else "filler" if has_filler(t, filler) else None for t in texts]
+            sure = [trust(t, filler) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column("idx"), b.column("h"), pa.array(np.diff(off).astype(np.int32)), pa.array(_simhash(flat, off).view(np.int64)), pa.array([trust(t, filler) for t in texts], pa.int32()), pa.array(inside, pa.string())],
-                ["idx", "h", "size", "f", "trust", "inside"],
+                [b.column("idx"), b.column("h"), b.column("c"), pa.array(sure, pa.int32()), pa.array(inside, pa.string()), pa.array([t if x >= 0 else None for t, x in zip(texts, sure)], pa.string())],
+                ["idx", "h", "c", "trust", "inside", "said"],
             )
 
     norm = d.withColumn("norm", masked(F.col("text"))).withColumn("h", F.xxhash64("norm"))
-    toks = F.array_distinct(F.transform(F.filter(F.split("norm", " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    seen = cut(norm.select("idx", "h", toks.alias("toks"), "text").mapInArrow(label, f"idx {kind}, h long, size int, f long, trust int, inside string"), "labels")
-    label_of = seen.groupBy("h").agg(F.max("trust").alias("most"), F.min("trust").alias("least"))
-    links = near_classes(seen, d)
-    groups = connected_groups(links.select(F.col("ha").alias("u"), F.col("hb").alias("v")))
-    whole = label_of.join(groups.withColumnRenamed("id", "h"), "h", "left").withColumn("group", F.coalesce("group", "h"))
-    of = whole.groupBy("group").agg(F.max("most").alias("gm"), F.min("least").alias("gl"))
-    pure = whole.join(of, "group").select("h", (F.col("most") == 1).alias("own"), ((F.col("gm") == 1) & (F.col("gl") >= 0)).alias("spread")).where("own or spread")
+    seen = cut(norm.select("idx", "h", _size_class(_words(F.col("norm"))).alias("c"), "text").mapInArrow(label, f"idx {kind}, h long, c int, trust int, inside string, said string"), "labels")
+    label_of = cut(seen.groupBy("h").agg(F.max("trust").alias("most"), F.min("trust").alias("least"), F.min("c").alias("c"), F.min("said").alias("text")), "classes")
+    spread = spread_labels(label_of, norm.select("h", "text")).withColumn("spread", F.lit(True))
+    pure = label_of.join(spread, "h", "left").select("h", (F.col("most") == 1).alias("own"), F.coalesce("spread", F.lit(False)).alias("spread")).where("own or spread")
     out = seen.join(pure, "h", "left").withColumn("reason", F.coalesce("inside", F.when(F.col("own"), "message"), F.when(F.col("spread"), "near")))
     rank = reduce(lambda c, kv: c.when(F.col("reason") == kv[1], kv[0]), list(enumerate(("field", "filler", "message", "near")))[1:], F.when(F.col("reason") == "field", 0))
     return out.where("reason is not null").groupBy("idx").agg(F.min_by("reason", rank).alias("reason"))

@@ -11,7 +11,7 @@ from corpusloom.llm.components import connected_groups, record_groups, record_li
 from corpusloom.llm.names import form_pairs, name_pairs, osa, read_name, same_names, soft_match
 from corpusloom.llm.nearsets import Classes, alike_pairs, alike_sets
 from corpusloom.llm.packing import fill_report, packed, plan, token_items
-from corpusloom.llm.residue import has_field, has_filler, residue, trust
+from corpusloom.llm.residue import class_prints, has_field, has_filler, near_classes, residue, trust
 from corpusloom.llm.survivors import golden_records
 
 # ---- components
@@ -226,6 +226,34 @@ def test_residue(spark):
     assert residue(spark.createDataFrame([], "idx int, text string"), "idx", "text").count() == 0
 
 
+def test_near_classes_against_brute_force(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for n in (4, 8, 9, 10, 12, 20, 40, 60, 200):
+        for _ in range(40):
+            base = r.sample(words, n)
+            # as far apart as 0.8 allows: words more, words less, words replaced
+            texts += [base, base + r.sample(words, n // 4), base[: n - n // 5], base[: n - n // 9] + r.sample(words, n // 9)]
+    sets = [set(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    p = class_prints(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "h long, text string")).cache()
+    got = {(x["ha"], x["hb"]) for x in near_classes(p, p).where("ha < hb").collect()}
+    assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_label_spreads_to_near_duplicates(spark):
+    said = "nothing to see in this place today because our machine is resting"
+    texts = {
+        1: said + " page not found", 2: said + " page not here", 3: said + " page sorry here", 4: "wholly other words that nobody has put into any list of messages",
+        # a genuine near-duplicate holds the label back
+        5: "one two three four five six seven eight nine ten eleven page not found", 6: "one two three four five six seven eight nine ten eleven page not", 7: "one two three four five six seven eight nine ten eleven page shall shall",
+    }
+    assert [trust(texts[i], set()) for i in sorted(texts)] == [1, 0, 0, 0, 1, 0, -1]
+    got = {r["idx"]: r["reason"] for r in residue(spark.createDataFrame(list(texts.items()), "idx int, text string"), "idx", "text").collect()}
+    assert got == {1: "message", 2: "near", 3: "near", 5: "message"}
+
+
 # ---- packing
 
 
