@@ -167,6 +167,41 @@ def _near(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
+def _pieces(n: int) -> tuple[int, int]:
+    """(most edits of a form of ``n`` letters, length of a piece): of so many pieces
+    and one more, one is whole in each form that ``_near`` accepts."""
+    most = max(2, n // 8)
+    return most, n // (most + 1)
+
+
+def _again(forms: Counter[str]) -> set[str]:
+    """The forms that come again, misreadings allowed for.  Of many forms only those
+    with a piece in common at about the same place are compared; as no near one
+    is without, that changes nothing in the result."""
+    out = {f for f, n in forms.items() if n > 1 and len(f) > 3}
+    rest = [f for f in forms if f not in out and len(f) >= 8]
+    if len(forms) <= 12:
+        return out | {f for f in rest if any(f != g and _near(f, g) for g in forms)}
+    index: dict[tuple[int, int, str], list[str]] = {}
+    for g in forms:
+        if len(g) >= 8:
+            for q in {_pieces(n)[1] for n in range(max(8, len(g) - 3), len(g) + 4)}:
+                for i in range(len(g) - q + 1):
+                    index.setdefault((len(g), i, g[i : i + q]), []).append(g)
+    for f in rest:
+        most, q = _pieces(len(f))
+        tried = {f}
+        for n in range(len(f) - 3, len(f) + 4):
+            for i in range(0, q * (most + 1), q):
+                for j in range(max(0, i - most), i + most + 1):
+                    for g in index.get((n, j, f[i : i + q]), ()):
+                        if f not in out and g not in tried:
+                            tried.add(g)
+                            if _near(f, g):
+                                out.add(f)
+    return out
+
+
 def _alike(a: str, b: str) -> bool:
     return _near(_form(a), _form(b))
 
@@ -200,21 +235,16 @@ def furniture(lines: list[str]) -> set[int]:
             beside.append([x for k in order if (x := nxt(k, -d)) is not None])
     for group in beside:
         group = [k for k in dict.fromkeys(group) if len(lines[k]) <= 110]
-        forms = Counter(_form(lines[k]) for k in group)
-        # Of many pages only the forms that come again are compared with.
-        often = [f for f, n in forms.items() if n > 1 and len(f) > 3]
-        for k in group:
-            f = _form(lines[k])
-            if k not in out and (forms[f] > 1 and len(f) > 3 or any(_near(f, g) for g in (often if len(group) > 12 else (_form(lines[j]) for j in group if j != k)))):
-                out.add(k)
+        again = _again(Counter(_form(lines[k]) for k in group))
+        out.update(k for k in group if _form(lines[k]) in again)
     # Without page numbers: a line that comes again, the first time at the top or next to another such.
     # Lines that are the same but for numbers, or nearly so.
-    again: dict[str, list[int]] = {}
+    same: dict[str, list[int]] = {}
     for k in at:
         if 4 < len(lines[k]) <= 110:
-            again.setdefault(re.sub(r"\d+", "#", lines[k].strip().lower()), []).append(k)
+            same.setdefault(re.sub(r"\d+", "#", lines[k].strip().lower()), []).append(k)
     tail = set(at[-4:])
-    for key, ks in again.items():
+    for key, ks in same.items():
         x = lines[ks[0]].strip()
         if len(ks) > 1 and not set(ks) <= out and not x.endswith((".", ",", ";")) and not x[0].islower() and (ks[0] in at[:2] or _STOCK.match(x) or any(nxt(k, d) in out for k in ks for d in (1, -1)) and not set(ks) <= tail):
             if ks[0] in at[:2] or _STOCK.match(x) or sum(any(nxt(k, d) in out for d in (1, -1)) for k in ks) > 1:

@@ -112,6 +112,30 @@ def test_analyse(lexicon):
     assert scans.analyse(long, lexicon)[0] == []
 
 
+def test_running_line_twice_in_a_long_scan(lexicon):
+    heads = {7: "Annex on Quality Assurance", 8: "Annex on Qualily Assurance"}
+    body = [f"{w} goods and {w[::-1]} services of another {w * 2} kind" for w in ("alder", "birch", "cedar", "dogwood", "elm", "fir", "gum", "hazel", "ivy", "juniper", "larch", "maple", "nutmeg", "oak", "pine", "quince", "rowan", "spruce", "teak", "willow")]
+    for n in (10, 20):
+        lines = [x for p in range(n) for x in (heads.get(p, body[p]), body[p][::-1], f"Page {p + 1}")]
+        assert {lines[k] for k in scans.furniture(lines) if not lines[k].startswith("Page")} == set(heads.values()), n
+
+
+def test_forms_that_come_again():
+    r = random.Random(3)
+    for _ in range(30):
+        base = ["".join(r.choice("abcde ") for _ in range(r.choice((5, 8, 9, 15, 16, 23, 24, 31, 40, 64, 90)))) for _ in range(12)]
+        forms = scans.Counter(base)
+        for x in base:
+            for _ in range(r.choice((0, 1, 2))):
+                y = x
+                for _ in range(r.randrange(1, len(x) // 8 + 4)):
+                    i = r.randrange(len(y))
+                    y = r.choice((y[:i] + y[i + 1 :], y[:i] + "z" + y[i:], y[:i] + "z" + y[i + 1 :]))
+                forms[y] += 1
+        want = {f for f in forms if forms[f] > 1 and len(f) > 3 or any(f != g and scans._near(f, g) for g in forms)}
+        assert scans._again(forms) == want
+
+
 def test_scan_noise(spark):
     rows = [(1, PAGE), (2, None), (3, ""), (1, PAGE), (4, "The supplier shall deliver goods and services. " * 50)]
     df = spark.createDataFrame(rows, "idx int, text string").withColumn("kind", scans.F.lit("x"))
