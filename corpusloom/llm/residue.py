@@ -133,7 +133,7 @@ def filler_words(texts: DataFrame, text: str) -> set[str]:
                         x = line.lower().split()
                         if sum(y.strip(".,") in ("lorem", "ipsum") for y in x) * 40 >= len(x):
                             dull.update(x)
-        rows = [(w, n, dull.get(w, 0)) for w, n in every.items() if w in dull] + [(w, n, 0) for w, n in every.items() if w not in dull and n > 2]
+        rows = [(w, n, dull.get(w, 0)) for w, n in every.items()]
         for k in range(0, len(rows), 50_000):
             yield pd.DataFrame(rows[k : k + 50_000], columns=["w", "n", "d"])
 

@@ -385,7 +385,7 @@ def corpus_lexicon(docs: DataFrame, text: str, known: Iterable[str]) -> Lexicon:
                     w = [x.strip(_EDGE) for x in line.split()]
                     one.update(w)
                     two.update(zip(w, w[1:]))
-        rows = [(a, "", n) for a, n in one.items()] + [(a, b, n) for (a, b), n in two.items() if n > 1 and a and b and a[-1:].islower() and b[:1].islower()]
+        rows = [(a, "", n) for a, n in one.items()] + [(a, b, n) for (a, b), n in two.items() if a and b and a[-1:].islower() and b[:1].islower()]
         for k in range(0, len(rows), 50_000):
             yield pd.DataFrame(rows[k : k + 50_000], columns=["a", "b", "n"])
 

@@ -11,7 +11,7 @@ from corpusloom.llm.components import connected_groups, record_groups, record_li
 from corpusloom.llm.names import form_pairs, name_pairs, osa, read_name, same_names, soft_match
 from corpusloom.llm.nearsets import Classes, alike_pairs, alike_sets
 from corpusloom.llm.packing import fill_report, packed, plan, token_items
-from corpusloom.llm.residue import class_prints, has_field, has_filler, near_classes, residue, trust
+from corpusloom.llm.residue import class_prints, filler_words, has_field, has_filler, near_classes, residue, trust
 from corpusloom.llm.survivors import golden_records
 
 # ---- components
@@ -226,6 +226,12 @@ def test_residue(spark):
     assert residue(spark.createDataFrame([], "idx int, text string"), "idx", "text").count() == 0
 
 
+def test_filler_counts_do_not_depend_on_the_split(spark):
+    df = spark.createDataFrame([("lorem ipsum contract contract dolor dolor",)] + [("the contract",)] * 12, "text string")
+    for n in (1, 13):
+        assert filler_words(df.repartition(n), "text") == {"lorem", "ipsum", "dolor"}, n
+
+
 def test_near_classes_against_brute_force(spark):
     r = random.Random(4)
     words = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(3000)]

@@ -136,6 +136,12 @@ def test_forms_that_come_again():
         assert scans._again(forms) == want
 
 
+def test_pair_counts_do_not_depend_on_the_split(spark):
+    df = spark.createDataFrame([("the supplier delivers",)] * 12, "text string")
+    for n in (1, 12):
+        assert scans.corpus_lexicon(df.repartition(n), "text", []).pairs == {("the", "supplier"): 12, ("supplier", "delivers"): 12}, n
+
+
 def test_scan_noise(spark):
     rows = [(1, PAGE), (2, None), (3, ""), (1, PAGE), (4, "The supplier shall deliver goods and services. " * 50)]
     df = spark.createDataFrame(rows, "idx int, text string").withColumn("kind", scans.F.lit("x"))
