@@ -41,7 +41,7 @@ SIMILAR = 0.8
 #: at the similarity 0.12 to 0.19 of them do on average, in unrelated texts half.
 WIDTH = 8
 BITS = 128
-#: Longest text, in words, that can be a message by itself.
+#: Most words, for each message in it, of a text that is nothing but messages.
 MESSAGE_WORDS = 60
 
 # What messages, filler and unfilled fields say.
@@ -72,7 +72,8 @@ def masked(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}0]+", " "))
 
 
-_SIGNS = re.compile(r"[{\[<%@«#(]|XX[./-]|[Yy]{4}|[Cc]lick|CLICK", re.ASCII)
+# In each alternative of _FIELD, in any case.
+_SIGNS = re.compile(r"[{\[<%@«#(]|[Xx]{2}[./-]|[Yy]{4}|[Cc][Ll]\w[Cc]\w")
 _HINTS = re.compile(r"lorem|text|body|copy|template|asdf|qwer|xxx|foo")
 
 
@@ -108,7 +109,7 @@ def trust(text: str, filler: set[str]) -> int:
     words = _WORD.findall(low)
     if not words:
         return 0
-    if clauses == 0 and len(words) <= MESSAGE_WORDS and _MESSAGE.search(text):
+    if clauses == 0 and _MESSAGE.search(text) and (len(words) <= MESSAGE_WORDS or len(words) <= MESSAGE_WORDS * sum(1 for _ in _MESSAGE.finditer(text))):
         return 1
     dull = sum(w in filler for w in words) > 0.6 * len(words)
     few = len(words) >= 8 and len(set(words)) <= 7

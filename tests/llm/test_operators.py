@@ -211,6 +211,10 @@ def test_residue_parts():
     assert has_filler("a b lorem ipsum dolor amet lorem c", filler) and not has_filler("replace all filler copy in the brochure", filler)
     assert trust("HTTP 404 - NOT FOUND\nThe page could not be opened.", filler) == 1
     assert trust("The vendor shall test the portal in browsers where JavaScript is switched off. The client shall pay.", filler) == -1
+    for s in ("dated xx/xx/20xx", "from xx-xx-20", "Xx.xX.20xx", "dd/mm/yyyy", "yyyy-mm-dd", "cLICK to add a name"):
+        assert has_field(s), s
+    page = "Page not found. The page you asked for has gone missing from our server or has moved to another place. Please go back to the start page and look for it there, or try again later. "
+    assert trust(page * 4, filler) == 1 and trust("Page not found. " + "We walked along the river and saw birds. " * 40, filler) == 0
     assert trust("Hi", filler) == 0 and trust("", filler) == 0
 
 
