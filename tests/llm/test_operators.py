@@ -1,6 +1,7 @@
 """Each operator on small tables: brute force, and odd input."""
 
 import itertools
+import math
 import random
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from corpusloom.llm.components import connected_groups, record_groups, record_li
 from corpusloom.llm.names import form_pairs, name_pairs, osa, read_name, same_names, soft_match
 from corpusloom.llm.nearsets import Classes, alike_pairs, alike_sets
 from corpusloom.llm.packing import fill_report, packed, plan, token_items
-from corpusloom.llm.residue import class_prints, filler_words, has_field, has_filler, near_classes, residue, trust
+from corpusloom.llm.residue import Reader, class_prints, filler_words, has_field, has_filler, key_parts, near_classes, residue, trust
 from corpusloom.llm.survivors import golden_records
 
 # ---- components
@@ -247,15 +248,32 @@ def test_near_classes_against_brute_force(spark):
             texts += [base, base + r.sample(words, n // 4), base[: n - n // 5], base[: n - n // 9] + r.sample(words, n // 9)]
     sets = [set(t) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
-    p = class_prints(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "h long, text string")).cache()
-    got = {(x["ha"], x["hb"]) for x in near_classes(p, p).where("ha < hb").collect()}
-    assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want)
+    reader = Reader(set())
+    rows = [(i, reader.words(" ".join(t)), int(math.log(len(set(t))) / math.log(1.25))) for i, t in enumerate(texts)]
+    # keys as for this many classes, and as for a million times as many
+    for parts in (key_parts(len(texts)), key_parts(1000 * len(texts))):
+        p = class_prints(spark.createDataFrame(rows, "h long, toks array<long>, c int"), parts).cache()
+        got = {(x["ha"], x["hb"]) for x in near_classes(p, p, parts.shape[1]).where("ha < hb").collect()}
+        assert len(want) > 1000 and got <= want and len(got) >= 0.99 * len(want), parts.shape
+
+
+def test_unseen_residue():
+    """Wordings that are in no table and no list."""
+    for s in (
+        "Oops! That link is broken. Head back to the home page.", "Bad request. Your browser sent something this server did not understand.", "502 Bad Gateway\nnginx", "You must switch on cookies, then reload the site.", "Session expired. Please log in again to continue.",
+        "Sorry, the website is offline right now. Try again tomorrow.", "Whoops, an unexpected error happened on the server.", "This plugin is blocked. Enable it in your browser.", "Status 503: too many requests", "Your browser is unsupported, please upgrade.",
+    ):
+        assert trust(s, {"lorem"}) == 1, s
+    for s in ("The price is <AMOUNT> a month.", "Dear __CLIENT_NAME__,", "signed by [[ClientName]]", "of %COMPANY_NAME% and", "{{#each items}}", "on <START DATE>", "[to be confirmed]", "[enter the amount here]", "(insert name)", "{{ counterparty.address }}"):
+        assert has_field(s), s
+    for s in ("a line _______ to sign", "The site is closed. We walk on.", "x < Y and Y > z", "50% OF 70% of it", "see (a) and (b)", "the «General Terms» and more «of such a long and winding kind»"):
+        assert not has_field(s) and trust(s, {"lorem"}) == 0, s
 
 
 def test_label_spreads_to_near_duplicates(spark):
     said = "nothing to see in this place today because our machine is resting"
     texts = {
-        1: said + " page not found", 2: said + " page not here", 3: said + " page sorry here", 4: "wholly other words that nobody has put into any list of messages",
+        1: said + " page not found", 2: said + " page not here", 3: said + " page quiet here", 4: "wholly other words that nobody has put into any list of messages",
         # a genuine near-duplicate holds the label back
         5: "one two three four five six seven eight nine ten eleven page not found", 6: "one two three four five six seven eight nine ten eleven page not", 7: "one two three four five six seven eight nine ten eleven page shall shall",
     }
