@@ -7,12 +7,14 @@
 * Misread words are looked up in a symmetric-delete index over the frequency
   lexicon of the whole corpus: a word and a token are compared if they have a
   form in common after leaving out up to two letters each.  A weighted edit
-  distance, cheap for letters a scanner confuses, and the count of the pair
-  with the word before choose the repair.  A frequent misreading isn't taken
-  for a word: it is a cheap distance from one that is far more frequent.
-
-Counts cover all records; words and pairs are kept from a fixed share of all
-tokens on, so the lexicon sent to the tasks is bounded whatever the corpus.
+  distance, cheap for letters a scanner confuses and dearer for any letter put
+  in, left out or replaced, and the count of the pair with the word before
+  choose the repair.  A frequent misreading isn't taken for a word: it is a cheap
+  distance from one that is far more frequent.
+
+Counts cover all records.  A word is known from ``LEAST`` occurrences on; the
+lexicon sent to the tasks holds the ``WORDS`` most frequent ones (and ``PAIRS``
+pairs), so it is bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -23,15 +25,28 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut, drop
 
-#: Least share of all tokens of a word (so at most 20,000) or pair of words.
-WORD_SHARE = 5e-5
-PAIR_SHARE = 5e-5
+#: Words and pairs of words in the lexicon at most, by frequency.
+WORDS = 20_000
+PAIRS = 200_000
+#: Occurrences from which a word is known.
+LEAST = 20
+#: Letters of the longest word that others are repaired to: the index of a word grows with
+#: their square.  Longer ones are known, too.
+LETTERS = 60
+#: How much more frequent a word is than what is taken for a misreading of it, if any
+#: letter may be wrong.
+FAR = 50
+
+#: Forms beside the page numbers up to which each two are compared directly: cheaper
+#: than an index of their pieces, with the same result.
+FEW = 24
 
 # What is printed, what a scanner may see instead, and the cost.
 CONFUSED = {
@@ -40,6 +55,7 @@ CONFUSED = {
     ("h", "b"): 0.3, ("b", "h"): 0.3, ("g", "q"): 0.3, ("q", "g"): 0.3, ("i", "j"): 0.4, ("a", "o"): 0.5, ("o", "a"): 0.5, ("i", "!"): 0.1, ("l", "!"): 0.1, ("l", "|"): 0.1, ("i", "|"): 0.1, ("t", "l"): 0.5, ("l", "t"): 0.5, ("v", "y"): 0.5, ("y", "v"): 0.5, ("e", "o"): 0.5, ("n", "u"): 0.4, ("u", "n"): 0.4, ("s", "$"): 0.1, ("e", "3"): 0.1, ("a", "4"): 0.1,
 }
 MOST = 1.0
+ANY = 0.9
 #: Words of the language that need no corpus to be trusted.
 COMMON = (
     "a about after again all also am an and any are as at back be been before being both but by can could did do does done down each end even ever few first for from get give go goes good had has have he her here him his how i if in into is it its "
@@ -47,19 +63,18 @@ COMMON = (
     "some such take text than that the their them then there these they this those through time to too two under until up upon us use used very view was way we well were what when where which while who whom whose why will with within without would write year yes yet you your"
 ).split()
 _EDGE = "\"'“”‘’«»()[]{}<>.,;:?*"
-_PAGE = re.compile(r"^\W*(?:p\s?a\s?g\s?e|pg\s?\.?|p\s?\.|page|folio|sheet|seite)\W*([\dOoIl|]{1,4})(?:\s*(?:/|of|von|de)\s*[\dOoIl|]{1,4})?\W*$|^\s*[-–—~\[(<|]+\s*([\dOIl]{1,4}|[ivxl]{1,5})\s*[-–—~\])>|]+\s*$|^\s*([\dOIl]{1,4})\s*(?:/|of)\s*[\dOIl]{1,4}\s*$", re.I)
-_BARE = re.compile(r"^\s*(\d{1,3}|[ivxl]{1,6})\s*$")
-_ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12, "xiii": 13, "xiv": 14, "xv": 15}
-_STOCK = re.compile(
-    r"^\s*(?:strictly confidential|private (?:and|&) confidential|confidential|.{2,90}\|\s*(?:private and |strictly )?confidential|.{2,90}\((?:scanned|printed) copy\)|.{2,90}, (?:printed|scanned) copy|scan batch \S+|initials?\s*:[\s_.]+|ref(?:erence)? [A-Z]{1,4}-\d{4}-\d+|[A-Z]{1,4}-\d{4}-\d+\s{3,}\S.*|\S.{2,60}\s{4,}\d{1,3})\s*$",
-    re.I,
-)
+_PAGE = re.compile(r"^\W*(?:p\s?a\s?g\s?e|pg\s?\.?|p\s?\.|page|folio|sheet|seite)\W*([\dOoIl|]+)(?:\s*(?:/|of|von|de)\s*[\dOoIl|]+)?\W*$|^\s*[-–—~\[(<|]+\s*([\dOIl]+|[ivxlcdm]+)\s*[-–—~\])>|]+\s*$|^\s*([\dOIl]+)\s*(?:/|of)\s*[\dOIl]+\s*$", re.I)
+_BARE = re.compile(r"^\s*(\d+|[ivxlcdm]+)\s*$", re.I)
+_DIGITS = re.compile(r"\d+")
+_SIGN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
 _BROKEN = re.compile(r"([^\W\d_][\w@'’]*)[-‐‑¬­_]\s*$")
 _FIRST = re.compile(r"\s*([\w@'’]+)")
 
 
-def weighted(word: str, token: str, most: float = MOST) -> float:
-    """Cost of reading ``token`` where ``word`` is printed."""
+def weighted(word: str, token: str, most: float = MOST, any_letter: float | None = ANY) -> float:
+    """Cost of reading ``token`` where ``word`` is printed: that of the confusions, and
+    ``any_letter`` for a letter put in, left out or replaced (None: not at all)."""
     n, m = len(word), len(token)
     if abs(n - m) > 2:
         return most + 1
@@ -76,8 +91,10 @@ def weighted(word: str, token: str, most: float = MOST) -> float:
                 for b in (1, 2):
                     if i + a <= n and j + b <= m and (c := CONFUSED.get((word[i : i + a], token[j : j + b]))) is not None:
                         d[i + a][j + b] = min(d[i + a][j + b], v + c)
-            if i < n and j < m:
-                d[i + 1][j + 1] = min(d[i + 1][j + 1], v + 1.2)
+            if any_letter is not None:
+                for a, b in ((1, 1), (1, 0), (0, 1)):
+                    if i + a <= n and j + b <= m:
+                        d[i + a][j + b] = min(d[i + a][j + b], v + any_letter)
     return d[n][m]
 
 
@@ -89,45 +106,55 @@ def _forms(w: str) -> set[str]:
     return out
 
 
+_IS_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+
+
 class Lexicon:
-    """Trusted words with counts, pairs of words, and the symmetric-delete index."""
+    """Trusted words with counts, pairs of words, and the symmetric-delete index.
+    ``trusted`` are those of a lexicon built before from the same counts."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], known: Iterable[str]):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], known: Iterable[str], trusted: Iterable[str] | None = None):
         base = {w.lower() for w in known if w} | set(COMMON)
-        top = max([1, *words.values()])
         self.count = {**{w: 1 for w in base}, **words}
         self.pairs = pairs
         self.index: dict[str, list[str]] = {}
         self.words: set[str] = set()
+        self.longest = 0
         self.memo: dict[str, list[tuple[float, str]]] = {}
-        # The most frequent first, so that a misreading meets the word it stands for.
-        for w in sorted(self.count, key=lambda w: (w not in base, -self.count[w], w)):
-            if not re.fullmatch(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", w):
-                continue
-            if w not in base and any(self.count[v] >= (2 if v in base else 8) * self.count[w] for _, v in self.near(w)):
-                continue
+        for w in self._trusted(base) if trusted is None else trusted:
             self.words.add(w)
-            self.memo.clear()
-            if len(w) >= 2:
+            if 2 <= len(w) <= LETTERS:
+                self.longest = max(self.longest, len(w))
                 for f in _forms(w):
                     self.index.setdefault(f, []).append(w)
-        self.memo.clear()
-        self.top = top
+
+    def _trusted(self, base: set[str]) -> Iterator[str]:
+        # The most frequent first, so that a misreading meets the word it stands for.
+        for w in sorted(self.count, key=lambda w: (w not in base, -self.count[w], w)):
+            if (w in base or self.count[w] >= LEAST) and _IS_WORD.fullmatch(w):
+                if w in base or not any(self.count[v] >= (2 if v in base else 8) * self.count[w] for _, v in self._met(w, None)):
+                    yield w
+
+    def _met(self, token: str, any_letter: float | None) -> list[tuple[float, str]]:
+        if len(token) > self.longest + 2:
+            return []
+        seen = {w for f in _forms(token) for w in self.index.get(f, ())} - {token}
+        return sorted((c, w) for w in seen if (c := weighted(w, token, MOST, any_letter)) <= MOST)
 
     def near(self, token: str) -> list[tuple[float, str]]:
-        """(cost, word) of the words that ``token`` may stand for, best first."""
+        """(cost, word) of the words that ``token`` may stand for, best first.
+
+        Any letter may be wrong only if no confusion explains the token, inside a
+        word of six letters or more (at its ends it is another form of the word,
+        not a misreading), and if the word is far more frequent."""
         got = self.memo.get(token)
         if got is None:
             got = []
-            if 2 <= len(token) <= 30:
-                seen: set[str] = set()
-                for f in _forms(token):
-                    for w in self.index.get(f, ()):
-                        if w not in seen:
-                            seen.add(w)
-                            if w != token and (c := weighted(w, token)) <= MOST:
-                                got.append((c, w))
-                got.sort()
+            if len(token) >= 2:
+                got = self._met(token, None)
+                if not got and len(token) >= 6:
+                    own = FAR * max(1, self.count.get(token, 1))
+                    got = [(c, w) for c, w in self._met(token, ANY) if len(w) >= 6 and w[0] == token[0] and w[-2:] == token[-2:] and self.count[w] >= own]
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[token] = got
@@ -144,9 +171,48 @@ class Lexicon:
         return min(near, key=lambda x: (x[0] - 0.1 * math.log1p(self.count.get(x[1], 0)) - 0.25 * math.log1p(self.pairs.get((before, x[1]), 0)), x[1]))[1]
 
 
+def _number(s: str) -> int:
+    if s.isdigit():
+        return int(s) if len(s) < 10 else -1
+    v = [_SIGN[c] for c in s]
+    return sum(-x if x < y else x for x, y in zip(v, v[1:] + [0]))
+
+
 def _form(x: str) -> str:
     """A running line without case, numbers and double blanks."""
-    return re.sub(r"\d+|\s+", lambda m: "#" if m.group()[0].isdigit() else " ", x.strip().lower())[:90]
+    return _DIGITS.sub("#", " ".join(x.lower().split()))
+
+
+def _distance(a: str, b: str, most: int) -> int:
+    """Edit distance; more than ``most`` where it is more."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[-1 - i] == b[-1 - i]:
+        i += 1
+    a, b = a[: len(a) - i], b[: len(b) - i]
+    if not a or not b or abs(len(a) - len(b)) > most:
+        return len(a) + len(b) if abs(len(a) - len(b)) > most else max(len(a), len(b))
+    if len(b) > 100:
+        x, at = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
+        row = at.copy()
+        for k, c in enumerate(a, 1):
+            new = np.minimum(row + 1, np.concatenate([[k], row[:-1] + (x != ord(c))]))
+            row = np.minimum.accumulate(new - at) + at
+            if row.min() > most:
+                return most + 1
+        return int(row[-1])
+    row = list(range(len(b) + 1))
+    for k, c in enumerate(a, 1):
+        new = [k]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != y)))
+        if min(new) > most:
+            return most + 1
+        row = new
+    return row[-1]
 
 
 def _near(a: str, b: str) -> bool:
@@ -155,55 +221,58 @@ def _near(a: str, b: str) -> bool:
         return len(a) > 3
     if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 3:
         return False
-    most = max(2, len(a) // 8)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-        if min(new) > most:
-            return False
-        row = new
-    return row[-1] <= most
+    if len(a) < len(b):
+        a, b = b, a
+    most, q = _pieces(len(a))
+    # with so few edits one of the pieces is whole, at about its place
+    return any(b.find(a[i : i + q], max(0, i - most), i + q + most) >= 0 for i in range(0, q * (most + 1), q)) and _distance(a, b, most) <= most
 
 
 def _pieces(n: int) -> tuple[int, int]:
-    """(most edits of a form of ``n`` letters, length of a piece): of so many pieces
-    and one more, one is whole in each form that ``_near`` accepts."""
+    """(most edits of the longer of two near forms, of ``n`` letters, length of a piece):
+    of so many pieces and one more, one is whole in the other form."""
     most = max(2, n // 8)
     return most, n // (most + 1)
 
 
-def _again(forms: Counter[str]) -> set[str]:
-    """The forms that come again, misreadings allowed for.  Of many forms only those
-    with a piece in common at about the same place are compared; as no near one
-    is without, that changes nothing in the result."""
-    out = {f for f, n in forms.items() if n > 1 and len(f) > 3}
-    rest = [f for f in forms if f not in out and len(f) >= 8]
-    if len(forms) <= 12:
-        return out | {f for f in rest if any(f != g and _near(f, g) for g in forms)}
+def _twins(forms: Iterable[str]) -> dict[str, set[str]]:
+    """The near forms, itself left out, of each form that has any.  Only forms with a
+    piece in common at about the same place are compared; no near one is
+    without."""
+    forms = list(forms)
+    out: dict[str, set[str]] = {}
     index: dict[tuple[int, int, str], list[str]] = {}
     for g in forms:
         if len(g) >= 8:
-            for q in {_pieces(n)[1] for n in range(max(8, len(g) - 3), len(g) + 4)}:
+            for q in {_pieces(n)[1] for n in range(len(g), len(g) + 4)}:
                 for i in range(len(g) - q + 1):
                     index.setdefault((len(g), i, g[i : i + q]), []).append(g)
-    for f in rest:
+    for f in forms:
+        if len(f) < 8:
+            continue
         most, q = _pieces(len(f))
         tried = {f}
-        for n in range(len(f) - 3, len(f) + 4):
+        for n in range(len(f) - 3, len(f) + 1):
             for i in range(0, q * (most + 1), q):
                 for j in range(max(0, i - most), i + most + 1):
                     for g in index.get((n, j, f[i : i + q]), ()):
-                        if f not in out and g not in tried:
+                        if g not in tried:
                             tried.add(g)
                             if _near(f, g):
-                                out.add(f)
+                                out.setdefault(f, set()).add(g)
+                                out.setdefault(g, set()).add(f)
     return out
 
 
-def _alike(a: str, b: str) -> bool:
-    return _near(_form(a), _form(b))
+def _again(forms: Counter[str]) -> set[str]:
+    """The forms that come again, misreadings allowed for."""
+    out = {f for f, n in forms.items() if n > 1 and len(f) > 3}
+    if len(forms) > FEW:
+        return out | set(_twins(forms))
+    for f, g in combinations(forms, 2):
+        if not (f in out and g in out) and _near(f, g):
+            out |= {f, g}
+    return out
 
 
 def furniture(lines: list[str]) -> set[int]:
@@ -211,63 +280,61 @@ def furniture(lines: list[str]) -> set[int]:
     at = [k for k, x in enumerate(lines) if x and not x.isspace()]
     if len(at) < 2:
         return set()
-    pages = {k for k in at if len(lines[k]) <= 26 and _PAGE.match(lines[k])}
-    bare = [(k, m.group(1).lower()) for k in at if len(lines[k]) <= 10 and (m := _BARE.match(lines[k]))]
-    if bare:
-        value = [int(v) if v.isdigit() else _ROMAN.get(v, -1) for _, v in bare]
-        first = next((i for i, v in enumerate(value) if v == 1), None)
+    pages = {k for k in at if _PAGE.match(lines[k])}
+    bare = [(k, _number(m.group(1).lower())) for k in at if (m := _BARE.match(lines[k]))]
+    want = 1
+    for k, v in bare:
         # bare numbers count from 1 on, one after the other
-        if first is not None:
-            want = 1
-            for (k, _), v in zip(bare[first:], value[first:]):
-                if v == want and (want > 1 or len(bare) > 1 or k == at[-1]):
-                    pages.add(k)
-                    want += 1
+        if v == want and (want > 1 or len(bare) > 1 or k == at[-1]):
+            pages.add(k)
+            want += 1
     out = set(pages)
     place = {k: n for n, k in enumerate(at)}
     order = sorted(pages)
     nxt = lambda k, d: at[place[k] + d] if 0 <= place[k] + d < len(at) else None
+    form: dict[int, str] = {}
+
+    def f(k: int) -> str:
+        if k not in form:
+            form[k] = _form(lines[k])
+        return form[k]
+
     # Lines beside the page numbers, by how far from them: alike on two pages or more.
-    beside: list[list[int]] = []
     if order:
         for d in (1, 2):
-            beside.append([at[d - 1], *(x for k in order if (x := nxt(k, d)) is not None)])
-            beside.append([x for k in order if (x := nxt(k, -d)) is not None])
-    for group in beside:
-        group = [k for k in dict.fromkeys(group) if len(lines[k]) <= 110]
-        again = _again(Counter(_form(lines[k]) for k in group))
-        out.update(k for k in group if _form(lines[k]) in again)
-    # Without page numbers: a line that comes again, the first time at the top or next to another such.
-    # Lines that are the same but for numbers, or nearly so.
+            for group in ([at[d - 1], *(x for k in order if (x := nxt(k, d)) is not None)], [x for k in order if (x := nxt(k, -d)) is not None]):
+                group = list(dict.fromkeys(group))
+                again = _again(Counter(f(k) for k in group)) if len(group) > 1 else ()
+                out.update(k for k in group if f(k) in again)
+    # Lines that come again and are no sentences: at the top, beside other such lines,
+    # in the middle of a sentence, at the end, or to be filled in on each page.
     same: dict[str, list[int]] = {}
     for k in at:
-        if 4 < len(lines[k]) <= 110:
-            same.setdefault(re.sub(r"\d+", "#", lines[k].strip().lower()), []).append(k)
-    tail = set(at[-4:])
-    for key, ks in same.items():
-        x = lines[ks[0]].strip()
-        if len(ks) > 1 and not set(ks) <= out and not x.endswith((".", ",", ";")) and not x[0].islower() and (ks[0] in at[:2] or _STOCK.match(x) or any(nxt(k, d) in out for k in ks for d in (1, -1)) and not set(ks) <= tail):
-            if ks[0] in at[:2] or _STOCK.match(x) or sum(any(nxt(k, d) in out for d in (1, -1)) for k in ks) > 1:
+        x = lines[k].strip()
+        if len(x) > 4 and x[-1] not in ".,;":
+            same.setdefault(_DIGITS.sub("#", " ".join(x.split())), []).append(k)
+    top, tail = set(at[:2]), set(at[-4:])
+    # the forms that others may be a misreading of
+    anchors = [g for g, ks in same.items() if len(g) >= 8 and (len(ks) > 1 or ks[0] in top or ks[0] in out)]
+    twin: dict[str, set[str]] = {}
+    for g in same:
+        for a in anchors:
+            if -4 < len(g) - len(a) < 4 and g is not a and _near(g, a) and not g.startswith(a) and not a.startswith(g):
+                twin.setdefault(a, set()).add(g)
+    beside = lambda k: any(nxt(k, d) in out for d in (1, -1))
+
+    def breaks(k: int) -> bool:
+        a, b = nxt(k, -1), nxt(k, 1)
+        return a is not None and b is not None and not _SENTENCE.search(lines[a].rstrip()) and lines[b].strip()[:1].islower()
+
+    for _ in range(2):
+        for g, own in same.items():
+            ks = sorted({*own, *(k for x in twin.get(g, ()) for k in same[x])})
+            if len(ks) < 2 or out.issuperset(ks):
+                continue
+            near = sum(map(beside, ks))
+            if near and ks[-1] == at[-1] or not g[0].islower() and (ks[0] in top or not tail.issuperset(ks) and (near > 1 or "___" in g or any(map(breaks, ks)))):
                 out.update(ks)
-    # One page: the stock forms at the top and the bottom, or a first line that repeats the title.
-    ends = [at[0], at[-1], *(x for k in order if (x := nxt(k, -1)) is not None), *(x for k in order if (x := nxt(k, 1)) is not None)]
-    for k in ends:
-        if _STOCK.match(lines[k]):
-            out.add(k)
-    head, title = lines[at[0]].strip(), lines[at[1]].strip()
-    if at[0] not in out and len(head) <= 110 and len(title) >= 4 and len(head) > len(title) and title.upper() == title:
-        h = head.lower()
-        if _alike(h[: len(title)], title.lower()) and re.match(r"\s*(?:/|\||-|,|\s{2,})", head[len(title) :]) or h.endswith(title.lower()) and re.search(r"\s{3,}", head):
-            out.add(at[0])
-    seen: dict[str, str] = {}
-    for k in sorted(out - pages):
-        if _STOCK.match(lines[k]) or k == at[0] or place[k] == 1:
-            seen.setdefault(_form(lines[k]), lines[k])
-    for j in at:
-        if seen and j not in out and len(lines[j]) <= 110:
-            x = lines[j]
-            if any(abs(len(x) - len(y)) <= 3 and x[:1] == y[:1] and _near(_form(x), f) for f, y in seen.items()):
-                out.add(j)
     return out
 
 
@@ -373,32 +440,55 @@ def analyse(text: str, lex: Lexicon, repair: bool = False) -> tuple[list[tuple[i
     return found, "\n".join(x for x in out if x)
 
 
+#: Counts held in a task before they are handed on.
+HELD = 400_000
+_BREAK = re.compile(r"\S+[-‐‑¬­_][ \t]*\n\s*\S+")
+
+
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    return counts.orderBy(F.desc("n"), "a", "b").limit(most).collect()
+
+
 def corpus_lexicon(docs: DataFrame, text: str, known: Iterable[str]) -> Lexicon:
-    """Counts of words and of pairs of words over all texts of ``docs``."""
+    """Counts of words and of pairs of words over all texts of ``docs``.  The parts of
+    a word broken at a line's end aren't words."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one: Counter = Counter()
         two: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            c: Counter = Counter()
+            for a, n in one.items():
+                c[a.strip(_EDGE), ""] += n
+            for (a, b), n in two.items():
+                a, b = a.strip(_EDGE), b.strip(_EDGE)
+                if a and b and a[-1].islower() and b[0].islower():
+                    c[a, b] += n
+            one.clear()
+            two.clear()
+            return pd.DataFrame([(a, b, n) for (a, b), n in c.items()], columns=["a", "b", "n"])
+
         for pdf in parts:
             for t in pdf["t"]:
+                if any(x + "\n" in t for x in "-‐‑¬­_"):
+                    t = _BREAK.sub("\n", t)
                 for line in t.split("\n"):
-                    w = [x.strip(_EDGE) for x in line.split()]
+                    w = line.split()
                     one.update(w)
                     two.update(zip(w, w[1:]))
-        rows = [(a, "", n) for a, n in one.items()] + [(a, b, n) for (a, b), n in two.items() if a and b and a[-1:].islower() and b[:1].islower()]
-        for k in range(0, len(rows), 50_000):
-            yield pd.DataFrame(rows[k : k + 50_000], columns=["a", "b", "n"])
+                if len(one) + len(two) > HELD:
+                    yield rows()
+        yield rows()
 
     raw = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).mapInPandas(count, "a string, b string, n long")
     # A word counts where it is written in lower case, or all in capitals.
     lower = (F.lower("a") == F.col("a")) | (F.upper("a") == F.col("a"))
-    c = raw.where(lower).groupBy(F.lower("a").alias("a"), F.lower("b").alias("b")).agg(F.sum("n").alias("n"))
-    c = cut(c.where((F.col("n") >= 3) & F.col("a").rlike(r"^[\p{L}'’@0-9|!$-]+$")), "counts")
-    total = c.where("b = ''").agg(F.sum("n")).first()[0] or 0
-    kept = c.where(F.col("n") >= F.when(F.col("b") == "", WORD_SHARE * total).otherwise(PAIR_SHARE * total)).toPandas()
+    c = raw.where(lower & F.col("a").rlike(r"^[\p{L}'’@0-9|!$-]+$")).groupBy(F.lower("a").alias("a"), F.lower("b").alias("b")).agg(F.sum("n").alias("n"))
+    c = cut(c.where("n >= 3"), "counts")
+    words = {r["a"]: r["n"] for r in _most_frequent(c.where("b = ''"), WORDS)}
+    pairs = {(r["a"], r["b"]): r["n"] for r in _most_frequent(c.where("b <> ''"), PAIRS)}
     drop(c)
-    words = {a: int(n) for a, b, n in kept[["a", "b", "n"]].itertuples(index=False) if not b}
-    pairs = {(a, b): int(n) for a, b, n in kept[["a", "b", "n"]].itertuples(index=False) if b}
     return Lexicon(words, pairs, known)
 
 
@@ -413,7 +503,7 @@ def scan_noise(docs: DataFrame, idx: str, text: str, known: Iterable[str] = (),
     """
     known = [w for w in known if w]
     lex = corpus_lexicon(docs, text, known)
-    data = docs.sparkSession.sparkContext.broadcast((dict(lex.count), lex.pairs, known))
+    data = docs.sparkSession.sparkContext.broadcast((dict(lex.count), lex.pairs, known, sorted(lex.words)))
     kind = docs.schema[idx].dataType.simpleString()
     cache: dict[str, Lexicon] = {}
 

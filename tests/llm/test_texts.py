@@ -87,6 +87,19 @@ def test_lexicon(lexicon):
     for w in ("charter", "Gudope", "xylophone", "", "it"):
         assert lexicon.repair(w.lower(), "") is None
     assert scans.weighted("modern", "modem") < 1 and scans.weighted("abc", "xyz") > 1
+    # any letter put in, left out or replaced, where the word is far more frequent
+    contract = scans.Lexicon({"contract": 500, "contracts": 40, "compact": 30, "conttract": 2}, {}, [])
+    for bad in ("contrzct", "contrct", "conttract", "c0ntract"):
+        assert contract.repair(bad, "") == "contract", bad
+    for other in ("contracted", "contractor", "kontract", "contrived", "compacts"):
+        assert contract.repair(other, "") is None, other
+    assert scans.Lexicon({"contract": 99, "contrzct": 2}, {}, []).repair("contrzct", "") is None
+    assert contract.repair("c" * 100_000, "") is None
+
+
+def test_a_lexicon_is_the_same_when_built_again(lexicon):
+    again = scans.Lexicon(dict(lexicon.count), lexicon.pairs, ["payment"], sorted(lexicon.words))
+    assert again.words == lexicon.words and {k: set(v) for k, v in again.index.items()} == {k: set(v) for k, v in lexicon.index.items()}
 
 
 PAGE = """Ref MX-2022-71881
@@ -120,7 +133,36 @@ def test_running_line_twice_in_a_long_scan(lexicon):
         assert {lines[k] for k in scans.furniture(lines) if not lines[k].startswith("Page")} == set(heads.values()), n
 
 
-def test_forms_that_come_again():
+def test_numbers_of_pages(lexicon):
+    """However many pages there are, and however long the lines."""
+    r = random.Random(6)
+    for number in (str, scans_roman):
+        lines = [x for p in range(1, 1201) for x in (" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(2)), number(p))]
+        assert scans.furniture(lines) == set(range(1, 2400, 2))
+    head = "a very long running line " * 40
+    lines = [x for p in range(1, 4) for x in (head, f"body of another page {'xyz'[p - 1] * 9}.", f"Page {p} of 3")]
+    assert scans.furniture(lines) == {0, 2, 3, 5, 6, 8}
+
+
+def scans_roman(n):
+    out = ""
+    for v, s in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        while n >= v:
+            out, n = out + s, n - v
+    return out
+
+
+def test_running_lines_of_any_wording(lexicon):
+    """Headers and footers that no list names."""
+    page = ["The supplier shall deliver goods and services under this", "agreement within thirty days."]
+    lines = ["Blue folder 12-A", "TITLE", *page, "The client will pay the fees of", "Archive shelf seven", "Blue f0lder 12-A", "each month in advance.", "No other terms apply.", "Archive shelf seven"]
+    assert {lines[k] for k in scans.furniture(lines)} == {"Blue folder 12-A", "Blue f0lder 12-A", "Archive shelf seven"}
+    assert scans.furniture(["TITLE", *page, "Signed for and on behalf of", "the client", "Signed for and on behalf of", "the supplier"]) == set()
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_forms_that_come_again(few, monkeypatch):
+    monkeypatch.setattr(scans, "FEW", few)
     r = random.Random(3)
     for _ in range(30):
         base = ["".join(r.choice("abcde ") for _ in range(r.choice((5, 8, 9, 15, 16, 23, 24, 31, 40, 64, 90)))) for _ in range(12)]
@@ -132,14 +174,25 @@ def test_forms_that_come_again():
                     i = r.randrange(len(y))
                     y = r.choice((y[:i] + y[i + 1 :], y[:i] + "z" + y[i:], y[:i] + "z" + y[i + 1 :]))
                 forms[y] += 1
-        want = {f for f in forms if forms[f] > 1 and len(f) > 3 or any(f != g and scans._near(f, g) for g in forms)}
+        want = {f for f in forms if forms[f] > 1 and len(f) > 3 or any(f != g and (scans._near(f, g) or scans._near(g, f)) for g in forms)}
         assert scans._again(forms) == want
 
 
 def test_pair_counts_do_not_depend_on_the_split(spark):
-    df = spark.createDataFrame([("the supplier delivers",)] * 12, "text string")
-    for n in (1, 12):
-        assert scans.corpus_lexicon(df.repartition(n), "text", []).pairs == {("the", "supplier"): 12, ("supplier", "delivers"): 12}, n
+    df = spark.createDataFrame([("the supplier delivers",)] * 12 + [("a bro-\nken word",)] * 9, "text string")
+    for n, held in ((1, scans.HELD), (12, scans.HELD), (3, 2)):
+        scans.HELD, kept = held, scans.HELD
+        lex = scans.corpus_lexicon(df.repartition(n), "text", [])
+        scans.HELD = kept
+        assert lex.pairs == {("the", "supplier"): 12, ("supplier", "delivers"): 12}, n
+        assert lex.count["supplier"] == 12 and "bro" not in lex.count and "ken" not in lex.count and lex.count["word"] == 9
+
+
+def test_the_split_changes_no_row(spark):
+    folder = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{folder}/extracted_doc.parquet").select("idx", "text").distinct()
+    got = [sorted(map(tuple, scans.scan_noise(df.repartition(n), "idx", "text", WORDS).collect())) for n in (1, 16, 200)]
+    assert got[0] and got[0] == got[1] == got[2]
 
 
 def test_scan_noise(spark):
