@@ -11,11 +11,13 @@ that differs spoils at most one cell, so of two alike records at least
 ``T = m - H`` cells are equal, ``H`` being the bound above.  That is a
 T-occurrence problem, solved as DivideSkip does:
 
-* the ``T - 1`` longest lists of a record, by the frequency of their words, are
-  set aside; the record goes only to its ``H + 1`` short ones,
-* the short lists are merged by sorting (key, record), in parallel by key; a
-  list is met as one run,
-* what was set aside is probed, for each pair met in a run, through a 128-bit
+* the longest lists of a record, by the frequency of their words, are set aside;
+  of the T common lists of two alike records as many as T less those set aside
+  are among the short ones,
+* the short lists are merged by sorting (key, record), in parallel by key, and the
+  lists that two records have in common are counted; pairs with fewer than that
+  many drop out,
+* what was set aside is probed, for each pair met in a list, through a 128-bit
   parity sketch of all cells at once: its Hamming distance never exceeds the
   symmetric difference, so no alike pair is lost,
 * pairs that are left pass a sketch of 512 bits of the same kind and are
@@ -185,8 +187,7 @@ def _emitter(t: float, freq: np.ndarray, spread: int):
                 top = c.low[k + 1] - 1
                 use = np.ones(len(n), bool) if role == 0 else c.low[k] <= c.largest(n)
                 m = c.differ(2 * top) + 1 + SPARE
-                # The other set is at most as large as the class and the similarity allow.
-                keep = c.differ(n + np.minimum(top, c.largest(n))) + 1
+                keep = _keep(c, n, top)
                 first_cell = np.concatenate([[0], np.cumsum(m)])
                 tot = int(first_cell[-1])
                 at = first_cell[doc] + (base % m[doc].astype(np.uint64)).astype(np.int64)
@@ -221,19 +222,29 @@ def _emitter(t: float, freq: np.ndarray, spread: int):
 
 
 _LISTS = "part int, h long, size int, s0 long, s1 long, keys binary"
-_MET = "ha long, hb long, key long, part int, h long, size int, s0 long, s1 long"
+_MET = "ha long, hb long, met int, least int, key long, part int, h long, size int, s0 long, s1 long"
 
 
-def _meet(t: float, h, size, role, s, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the index pairs left, right those that may be alike."""
+def _keep(c: Classes, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Short lists of sets of ``n`` words in a class up to ``top``: the other set is at
+    most as large as the class and the similarity allow."""
+    return c.differ(n + np.minimum(top, c.largest(n))) + 1
+
+
+def _meet(t: float, h, size, role, s, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of the index pairs left, right those that may be alike: rows of (ha, hb, lists
+    in common here, lists they must have in common in all)."""
     c = Classes(t)
     d = np.bitwise_count(s[left, 0] ^ s[right, 0]).astype(np.int64) + np.bitwise_count(s[left, 1] ^ s[right, 1])
     p, q = size[left], size[right]
     # Two records listed for the class above their own meet in their own class.
     ok = (d <= c.differ(p + q)) & (np.maximum(p, q) <= c.largest(np.minimum(p, q))) & ((role[left] == 0) | (role[right] == 0)) & (h[left] != h[right])
-    left, right = left[ok], right[ok]
+    left, right, p, q = left[ok], right[ok], p[ok], q[ok]
     a, b = h[left].view(np.int64), h[right].view(np.int64)
-    return np.minimum(a, b), np.maximum(a, b)
+    top = c.low[c.of(np.maximum(p, q)) + 1] - 1
+    need = np.minimum(_keep(c, p, top), _keep(c, q, top)) - c.differ(p + q)
+    rows, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), need], 1).reshape(-1, 3), axis=0, return_counts=True)
+    return np.concatenate([rows[:, :2], n[:, None], rows[:, 2:]], 1)
 
 
 def _run_pairs(lo: np.ndarray, ln: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -287,26 +298,25 @@ def _merger(t: float, long: int):
         if sel.any():
             big = np.repeat(sel, ln)
             z = np.zeros(int(big.sum()), np.int64)
-            yield _met(z, z, keys[big].view(np.int64), np.repeat(ln, ln)[big], h[big], cols["size"][row][big], s[big])
+            yield _met(np.zeros((len(z), 4), np.int64), keys[big].view(np.int64), np.repeat(ln, ln)[big], h[big], cols["size"][row][big], s[big])
         for left, right in _run_pairs(begin[~sel & (ln > 1)], ln[~sel & (ln > 1)], 1 << 19):
-            a, b = _meet(t, h, size, role, s, left, right)
-            if len(a):
-                ab = np.unique(np.stack([a, b], 1), axis=0)
-                z = np.zeros(len(ab), np.int64)
-                yield _met(ab[:, 0], ab[:, 1], z, z, z.view(np.uint64), z, np.zeros((len(ab), 2), np.uint64))
+            pairs = _meet(t, h, size, role, s, left, right)
+            if len(pairs):
+                z = np.zeros(len(pairs), np.int64)
+                yield _met(pairs, z, z, z.view(np.uint64), z, np.zeros((len(pairs), 2), np.uint64))
 
     return run
 
 
-def _met(ha, hb, key, part, h, size, s) -> pa.RecordBatch:
+def _met(pairs, key, part, h, size, s) -> pa.RecordBatch:
     i32 = lambda x: pa.array(np.asarray(x).astype(np.int32))
     i64 = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    return pa.RecordBatch.from_arrays([i64(ha), i64(hb), i64(key), i32(part), i64(h), i32(size), i64(s[:, 0]), i64(s[:, 1])], ["ha", "hb", "key", "part", "h", "size", "s0", "s1"])
+    return pa.RecordBatch.from_arrays([i64(pairs[:, 0]), i64(pairs[:, 1]), i32(pairs[:, 2]), i32(pairs[:, 3]), i64(key), i32(part), i64(h), i32(size), i64(s[:, 0]), i64(s[:, 1])], ["ha", "hb", "met", "least", "key", "part", "h", "size", "s0", "s1"])
 
 
 def _long_lists(met: DataFrame, t: float, long: int) -> DataFrame:
-    """(ha, hb) from lists that were cut: members fall into blocks by hash, and
-    each pair of blocks is a task's group of its own."""
+    """(ha, hb, met, least) from lists that were cut: members fall into blocks by hash,
+    and each pair of blocks is a task's group of its own."""
     half = max(1, long // 2)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("part") / half)).cast("int")
     m = met.where("part > 0").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
@@ -324,11 +334,11 @@ def _long_lists(met: DataFrame, t: float, long: int) -> DataFrame:
             left, right = np.repeat(x[at : at + 64], len(y)), np.tile(y, len(x[at : at + 64]))
             if i == j:
                 left, right = left[left < right], right[left < right]
-            out.append(np.stack(_meet(t, h, size, role, s, left, right), 1))
-        ab = np.unique(np.concatenate(out or [np.zeros((0, 2), np.int64)]), axis=0)
-        return pa.table({"ha": ab[:, 0], "hb": ab[:, 1]})
+            out.append(_meet(t, h, size, role, s, left, right))
+        got = np.concatenate(out or [np.zeros((0, 4), np.int64)])
+        return pa.table({k: pa.array(got[:, i].astype(kind)) for i, (k, kind) in enumerate((("ha", np.int64), ("hb", np.int64), ("met", np.int32), ("least", np.int32)))})
 
-    return m.groupBy("key", "i", "j").applyInArrow(meet, "ha long, hb long")
+    return m.groupBy("key", "i", "j").applyInArrow(meet, "ha long, hb long, met int, least int")
 
 
 def alike_sets(records: DataFrame, idx: str, block: str, text: str, t: float = 0.8, min_chars: int = 80, long: int = LONG) -> tuple[DataFrame, DataFrame]:
@@ -349,16 +359,18 @@ def alike_sets(records: DataFrame, idx: str, block: str, text: str, t: float = 0
     base = base.where(F.col("idx").isNotNull() & F.col("b").isNotNull() & (F.length("text") >= min_chars))
     docs = base.select("idx", F.xxhash64("b").alias("block"), word_hashes(F.col("text")).alias("toks"), "text").withColumn("h", F.xxhash64("block", "toks")).where(F.size("toks") > 0)
     kind = records.schema[idx].dataType.simpleString()
+    # read three times; hashing the words again costs more than the table
+    docs = cut(docs.select("idx", "h", "block", "toks"), "sets")
     seen = cut(docs.select("idx", "h", "toks").mapInArrow(_survey, _SEEN.format(kind)), "seen")
     freq = _frequencies(seen)
     # a part of the lists fits a task, whatever the number of shuffle partitions
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.where("h is not null").count() // RECORDS))
     lists = docs.select("h", "block", "toks").mapInArrow(_emitter(t, freq, spread), _LISTS)
-    met = cut(lists.repartition(spread, "part").mapInArrow(_merger(t, long), _MET), "met")
-    cand = met.where("part = 0").select("ha", "hb")
+    met = cut(lists.repartitionById(spread, F.col("part")).mapInArrow(_merger(t, long), _MET), "met")
+    cand = met.where("part = 0").select("ha", "hb", "met", "least")
     if not is_empty(met.where("part > 0")):
         cand = cand.unionByName(_long_lists(met, t, long))
-    cand = cut(cand.distinct(), "cand")
+    cand = cut(cand.groupBy("ha", "hb").agg(F.sum("met").alias("met"), F.max("least").alias("least")).where("met >= least").select("ha", "hb"), "cand")
     drop(met)
     members = seen.where("h is not null").select("idx", "h").distinct()
     sketch = seen.where("h is not null").groupBy("h").agg(F.first("size").alias("n"), F.first("sketch").alias("s"))
