@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from itertools import groupby
 
 import pandas as pd
@@ -31,13 +31,11 @@ def normalise(text: Column) -> Column:
 
 
 def normalised(df, text: str, out: str = "text_norm"):
-    """``df`` with the normal form of a text.  Only rows with a character beyond
-    ASCII, which alone the compatibility form can change, go through Python."""
+    """``df`` with the normal form of a text.  Python is given only texts with a
+    character beyond ASCII, which alone the compatibility form can change."""
     t = F.coalesce(F.col(text), F.lit(""))
-    ascii_only = t.rlike(r"^\p{ASCII}*$")
-    a = df.where(ascii_only).withColumn(out, plain(t))
-    b = df.where(~ascii_only).withColumn(out, plain(nfkc(t)))
-    return a.unionByName(b)
+    odd = F.when(~t.rlike(r"^\p{ASCII}*$"), t)
+    return df.withColumn(out, plain(F.coalesce(nfkc(odd), t)))
 
 
 def text_hash(norm: Column) -> Column:
@@ -78,11 +76,25 @@ def alternation(words: Iterable[str]) -> str:
     return "(?U)" + "|".join(out + [lit(w) + tail(w) for w in other])
 
 
-def hits(text: Column, pattern: str) -> Column:
-    """Array of (start, kw) of the matches of ``pattern``, from left to right."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(found, lambda k, i: F.struct((total(F.slice(between, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))).alias("start"), k.alias("kw")))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def hits(text: Column, pattern: str, block: int = 64) -> Column:
+    """Array of (start, kw) of the matches of ``pattern``, from left to right.  Lengths
+    are added up by blocks of matches, so that the work grows with the matches
+    and not with their square."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def placed(p: Column) -> Column:
+        found, gap = p["found"], p["gap"]
+        step = F.zip_with(found, F.slice(gap, F.lit(1), F.size(found)), lambda k, g: F.length(k) + g)
+        sums = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int"))), lambda b: total(F.slice(a, b * block + 1, F.lit(block))))
+        start = lambda q, i: total(F.slice(q["sums"], F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(q["step"], (F.floor(i / block) * block + 1).cast("int"), (i % block).cast("int"))) + F.get(gap, i)
+        return let(let(step, lambda a: F.struct(a.alias("step"), sums(a).alias("sums"))), lambda q: F.transform(found, lambda k, i: F.struct(start(q, i).alias("start"), k.alias("kw"))))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap")), placed)
 
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:

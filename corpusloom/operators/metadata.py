@@ -57,30 +57,26 @@ _SHAPE = {
 
 def contract_date(docs: DataFrame, text: str = "text", default: str = "2000-01-01", out: str = "contract_date") -> DataFrame:
     """``docs`` with the date as yyyy-MM-dd, or what stands for it (20 characters)
-    if it is no date, or ``""``.  What the usual forms don't cover goes to a
+    if it is no date, or ``""``.  Only what the usual forms don't cover is given to a
     lenient parser in Python; parts it lacks are those of ``default``."""
-    d = docs.withColumn("_w", date_words(F.coalesce(F.col(text), F.lit("")))).withColumn("_d", plain_date(F.col("_w")))
+    from dateutil import parser
+
     day = dt.datetime.fromisoformat(default)
 
     @F.pandas_udf("string")
     def lenient(words: pd.Series) -> pd.Series:
-        try:
-            from dateutil import parser
-        except ImportError:
-            return words.map(lambda x: None)
-
-        def one(w: str) -> str | None:
+        def one(w: str | None) -> str | None:
             try:
-                return parser.parse(w, fuzzy=True, dayfirst=False, default=day).strftime("%Y-%m-%d")
-            except Exception:
+                return None if w is None else parser.parse(w, fuzzy=True, dayfirst=False, default=day).strftime("%Y-%m-%d")
+            except Exception:  # whatever the parser makes of free text
                 return None
 
         return words.map(one)
 
-    known = d.where("_w is null or _d is not null").withColumn(out, F.coalesce(F.date_format("_d", "yyyy-MM-dd"), F.lit("")))
-    rest = d.where("_w is not null and _d is null").withColumn("_p", lenient("_w")).withColumn(out, F.coalesce("_p", F.substring(tidy(F.col("_w")), 1, 20)))
+    d = docs.withColumn("_w", date_words(F.coalesce(F.col(text), F.lit("")))).withColumn("_d", plain_date(F.col("_w")))
+    d = d.withColumn("_p", lenient(F.when(F.col("_d").isNull(), F.col("_w"))))
     keep = [c for c in docs.columns if c != out]
-    return known.select(*keep, out).unionByName(rest.select(*keep, out))
+    return d.select(*keep, F.coalesce(F.date_format("_d", "yyyy-MM-dd"), "_p", F.substring(tidy(F.col("_w")), 1, 20)).alias(out))
 
 
 def description(text: Column) -> Column:

@@ -17,6 +17,7 @@ from .operators import metadata as M
 from .operators import report as R
 from .plans.cut import cut, scratch
 from .plans.pipeline import analyse
+from .plans.ranks import nth_in_group
 from .sources import files as S
 from .sources.sinks import flat
 from .sources.tables import table
@@ -133,9 +134,7 @@ FROM w JOIN scores s ON s.idx = w.idx AND s.cat = w.cat"""
 @query(_headed_sql)
 def classify_headed(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a type in the heading or the file name."""
-    d = _docs(spark, folder, "idx", "text", "file_name")
-    heads = K._evidence(d, "text", "file_name", C.Classify()).where((F.size("_head") > 0) | F.col("_all")).select(*d.columns)
-    return K.classify(heads).select("idx", "doc_type", "score", "confidence", "needs_review")
+    return K.classify(_docs(spark, folder, "idx", "text", "file_name"), headed_only=True).select("idx", "doc_type", "score", "confidence", "needs_review")
 
 
 @query()
@@ -195,7 +194,15 @@ def date_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder, "idx", "text").select("idx", M.date_words(F.coalesce("text", F.lit(""))).alias("date_words"))
 
 
-@query()
+def _contract_date_sql() -> str:
+    """The usual forms; and of what the lenient parser makes of others, a lone number
+    that may be a day, with a month or without."""
+    months = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+    return f"""WITH pd AS ({_plain_date_sql()}), dw AS ({_date_words_sql()}), y AS (SELECT d.idx, date_words AS w, plain_date AS p, regexp_extract_all(date_words, '\\d+') AS nums, greatest(1, coalesce(list_position({months}, regexp_extract(date_words, '{"|".join(months)}')), 1)) AS m FROM dw d LEFT JOIN pd USING (idx))
+SELECT idx, CASE WHEN w IS NULL THEN '' WHEN p IS NOT NULL THEN p WHEN len(nums) = 1 AND TRY_CAST(nums[1] AS INT) BETWEEN 1 AND 31 THEN '2000-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(nums[1], 2, '0') ELSE substring({_CLEAN.format("w")}, 1, 20) END AS contract_date FROM y"""
+
+
+@query(_contract_date_sql)
 def contract_date(spark: SparkSession, folder: str) -> DataFrame:
     return M.contract_date(_docs(spark, folder, "idx", "text")).select("idx", "contract_date")
 
@@ -240,24 +247,26 @@ def currency_code(spark: SparkSession, folder: str) -> DataFrame:
 # ---- duplicates
 
 
-def _exact_sql(key: str) -> str:
-    return f"""WITH {_R}, k AS (SELECT *, count(*) OVER w AS n, first_value(idx) OVER (w ORDER BY idx) AS anchor_idx, first_value(file_name) OVER (w ORDER BY idx) AS anchor FROM r WHERE {key} <> '' AND text_len > 0 WINDOW w AS (PARTITION BY {key}))
+def _exact_sql(key: str, rule: str = "true") -> str:
+    return f"""WITH {_R}, k AS (SELECT *, count(*) OVER w AS n, first_value(idx) OVER (w ORDER BY idx) AS anchor_idx, first_value(file_name) OVER (w ORDER BY idx) AS anchor FROM r WHERE {key} <> '' AND {rule} WINDOW w AS (PARTITION BY {key}))
 SELECT idx, anchor_idx, dense_rank() OVER (ORDER BY anchor_idx) AS gid, anchor, idx <> anchor_idx AS duplicate FROM k WHERE n > 1"""
 
 
-def _exact(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    r = _records(spark, folder, "idx", "file_name", key, "text_len").where("text_len > 0").withColumn("status", F.lit("retained"))
+def _exact(spark: SparkSession, folder: str, key: str, rule: str = "true") -> DataFrame:
+    r = _records(spark, folder, "idx", "file_name", key, "text_len").where(rule).withColumn("status", F.lit("retained"))
     g = D.exact_groups(r, key).withColumnRenamed(key, "_k")
     return r.join(g, F.col(key) == F.col("_k")).select("idx", "anchor_idx", "gid", F.col("anchor_name").alias("anchor"), (F.col("idx") != F.col("anchor_idx")).alias("duplicate"))
 
 
-@query(_exact_sql("text_sha256"))
+@query(_exact_sql("text_sha256", "text_len > 0"))
 def exact_text_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    return _exact(spark, folder, "text_sha256")
+    """Only a record with a text can have the same text as another."""
+    return _exact(spark, folder, "text_sha256", "text_len > 0")
 
 
 @query(_exact_sql("file_sha256"))
 def exact_file_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    """Records without a text, such as empty files, count here."""
     return _exact(spark, folder, "file_sha256")
 
 
@@ -291,24 +300,94 @@ def char_ngram_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     return v.groupBy("idx", F.col("block").alias("doc_type")).agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
-@query(_TFIDF + " SELECT a.idx AS idx_a, b.idx AS idx_b, round(sum(a.w * b.w), 4) AS similarity FROM u a JOIN u b ON a.doc_type = b.doc_type AND a.g = b.g AND a.idx < b.idx GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9")
+def _cosine_sql(least: float) -> str:
+    return _TFIDF + f" SELECT a.idx AS idx_a, b.idx AS idx_b, round(sum(a.w * b.w), 4) AS similarity FROM u a JOIN u b ON a.doc_type = b.doc_type AND a.g = b.g AND a.idx < b.idx GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {least}"
+
+
+def _cosine(spark: SparkSession, folder: str, least: float) -> DataFrame:
+    return D.cosine_pairs(_near_docs(spark, folder), "idx", "doc_type", "text_norm", least).withColumn("similarity", F.round("similarity", 4))
+
+
+@query(_cosine_sql(0.9))
 def near_dup_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return D.cosine_pairs(_near_docs(spark, folder), "idx", "doc_type", "text_norm", 0.9).where("similarity >= 0.9").withColumn("similarity", F.round("similarity", 4))
+    """At the threshold of records read natively."""
+    return _cosine(spark, folder, 0.9)
+
+
+@query(_cosine_sql(0.8))
+def near_dup_pairs_ocr(spark: SparkSession, folder: str) -> DataFrame:
+    """At the threshold of records of which one is read by OCR."""
+    return _cosine(spark, folder, 0.8)
 
 
-@query(f"""WITH {_ND}, w AS (SELECT DISTINCT idx, doc_type, unnest(string_split(text_norm, ' ')) AS w FROM nd), x AS (SELECT * FROM w WHERE w <> ''), n AS (SELECT idx, count(*) AS n FROM x GROUP BY 1),
+def _jaccard_sql(least: float) -> str:
+    return f"""WITH {_ND}, w AS (SELECT DISTINCT idx, doc_type, unnest(string_split(text_norm, ' ')) AS w FROM nd), x AS (SELECT * FROM w WHERE w <> ''), n AS (SELECT idx, count(*) AS n FROM x GROUP BY 1),
 c AS (SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS c FROM x a JOIN x b ON a.doc_type = b.doc_type AND a.w = b.w AND a.idx < b.idx GROUP BY ALL)
-SELECT idx_a, idx_b, round(c / (p.n + q.n - c), 6) AS similarity FROM c JOIN n p ON p.idx = idx_a JOIN n q ON q.idx = idx_b WHERE c / (p.n + q.n - c) >= 0.9""")
+SELECT idx_a, idx_b, round(c / (p.n + q.n - c), 6) AS similarity FROM c JOIN n p ON p.idx = idx_a JOIN n q ON q.idx = idx_b WHERE c / (p.n + q.n - c) >= {least}"""
+
+
+def _jaccard(spark: SparkSession, folder: str, least: float) -> DataFrame:
+    return D.jaccard_pairs(_near_docs(spark, folder), "idx", "doc_type", "text_norm", least).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_jaccard_sql(0.9))
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return D.jaccard_pairs(_near_docs(spark, folder), "idx", "doc_type", "text_norm", 0.9).withColumn("similarity", F.round("similarity", 6))
+    return _jaccard(spark, folder, 0.9)
+
+
+@query(_jaccard_sql(0.8))
+def jaccard_pairs_ocr(spark: SparkSession, folder: str) -> DataFrame:
+    return _jaccard(spark, folder, 0.8)
+
+
+def _tiers(spark: SparkSession, folder: str, cfg: C.Dedupe) -> DataFrame:
+    own = ("idx", "file_name", "doc_type", "text_norm", "file_sha256", "text_sha256", "entity_name", "contract_date", "extraction_method", "text_len")
+    r = _records(spark, folder, *own).withColumn("status", K.initial_status(F.coalesce("doc_type", F.lit(""))))
+    return D.deduplicate(cut(r, "records"), cfg).select("idx", "status", "is_duplicate", "duplicate_of", "dup_group_id", "dup_method", "similarity", "cluster_id")
 
 
 @query()
 def near_dup_greedy(spark: SparkSession, folder: str) -> DataFrame:
     """The three tiers over all records, each starting afresh."""
-    own = ("idx", "file_name", "doc_type", "text_norm", "file_sha256", "text_sha256", "entity_name", "contract_date", "extraction_method", "text_len")
-    r = _records(spark, folder, *own).withColumn("status", K.initial_status(F.coalesce("doc_type", F.lit(""))))
-    return D.deduplicate(cut(r, "records")).select("idx", "status", "is_duplicate", "duplicate_of", "dup_group_id", "dup_method", "similarity", "cluster_id")
+    return _tiers(spark, folder, C.Dedupe())
+
+
+def _strict_sql() -> str:
+    """The tiers one after the other; the last one by a recursion, record by record."""
+    gone = ", ".join(_lit(k) for k in C.EXCLUDED_TYPES)
+    grams = _TFIDF[_TFIDF.index("w AS (SELECT idx") :].replace("doc_type", "blk")
+    return f"""WITH RECURSIVE r AS (SELECT DISTINCT idx, file_name, doc_type, text_norm, file_sha256, text_sha256, entity_name, contract_date, extraction_method, text_len FROM dedup_record),
+r0 AS (SELECT *, CASE WHEN coalesce(doc_type, '') IN ({gone}) THEN 'excluded' ELSE 'retained' END AS st0 FROM r),
+k1 AS (SELECT file_sha256, min(idx) AS a1, row_number() OVER (ORDER BY min(idx)) AS g1 FROM r0 WHERE st0 = 'retained' AND file_sha256 <> '' GROUP BY 1 HAVING count(*) > 1),
+r1 AS (SELECT r0.*, a1, g1, CASE WHEN idx <> a1 THEN 'removed' ELSE st0 END AS st1 FROM r0 LEFT JOIN k1 ON st0 = 'retained' AND r0.file_sha256 = k1.file_sha256),
+k2 AS (SELECT text_sha256, min(idx) AS a2, row_number() OVER (ORDER BY min(idx)) + (SELECT coalesce(max(g1), 0) FROM k1) AS g2 FROM r1 WHERE st1 = 'retained' AND text_len > 0 AND text_sha256 <> '' GROUP BY 1 HAVING count(*) > 1),
+r2 AS (SELECT r1.*, a2, g2, CASE WHEN idx <> a2 THEN 'removed' ELSE st1 END AS st2 FROM r1 LEFT JOIN k2 ON st1 = 'retained' AND text_len > 0 AND r1.text_sha256 = k2.text_sha256),
+last AS (SELECT greatest((SELECT coalesce(max(g1), 0) FROM k1), (SELECT coalesce(max(g2), 0) FROM k2)) AS g),
+nd AS (SELECT idx, coalesce(doc_type, '') AS blk, text_norm FROM r2 WHERE st2 = 'retained' AND length(text_norm) >= 80),
+{grams},
+c AS (SELECT a.idx AS ia, b.idx AS ib, round(sum(a.w * b.w), 12) AS s FROM u a JOIN u b ON a.blk = b.blk AND a.g = b.g AND a.idx < b.idx GROUP BY 1, 2 HAVING round(sum(a.w * b.w), 12) >= 0.8),
+e AS (SELECT idx, coalesce(extraction_method = 'ocr', false) AS ocr, lower(trim(coalesce(entity_name, ''), ' ')) AS ent, trim(coalesce(contract_date, ''), ' ') AS dat FROM r2),
+p AS MATERIALIZED (SELECT ia, ib, s, s >= CASE WHEN x.ocr OR y.ocr THEN 0.8 ELSE 0.9 END AND (x.ent = '' OR y.ent = '' OR x.ent = y.ent) AND (x.ocr OR y.ocr OR x.dat = '' OR y.dat = '' OR x.dat = y.dat) AS ok FROM c JOIN e x ON x.idx = ia JOIN e y ON y.idx = ib),
+seq AS MATERIALIZED (SELECT ib, row_number() OVER (ORDER BY ib) AS n FROM (SELECT DISTINCT ib FROM p)),
+step(n, merged, ib, ia, s) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INT[]), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS DOUBLE)
+ UNION ALL SELECT n + 1, CASE WHEN best.ok THEN list_append(merged, ib) ELSE merged END, ib, CASE WHEN best.ok THEN -best.na END, best.s
+ FROM (SELECT t.n, t.merged, q.ib, max(struct_pack(s := p.s, na := -p.ia, ok := p.ok)) AS best FROM step t JOIN seq q ON q.n = t.n + 1 LEFT JOIN p ON p.ib = q.ib AND NOT list_contains(t.merged, p.ia) GROUP BY t.n, t.merged, q.ib)),
+m AS (SELECT ib AS idx, ia, s, row_number() OVER (ORDER BY first, ib) AS n FROM step JOIN nd ON nd.idx = ib JOIN (SELECT blk, min(idx) AS first FROM nd GROUP BY 1) USING (blk) WHERE ia IS NOT NULL),
+cl AS (SELECT idx, least(idx, coalesce(a1, idx), coalesce(a2, idx)) AS cluster FROM r2)
+SELECT r2.idx, CASE WHEN m.idx IS NOT NULL THEN 'removed' ELSE r2.st2 END AS status, r2.st2 = 'removed' OR m.idx IS NOT NULL AS is_duplicate,
+coalesce(an.file_name, CASE WHEN r2.idx <> r2.a2 THEN f2.file_name WHEN r2.idx <> r2.a1 THEN f1.file_name END, '') AS duplicate_of,
+CAST(CASE WHEN m.idx IS NOT NULL THEN coalesce(an.g1, an.g2, last.g + m.n) WHEN r2.idx <> r2.a2 THEN r2.g2 ELSE coalesce(r2.g1, r2.g2) END AS INT) AS dup_group_id,
+CASE WHEN m.idx IS NOT NULL THEN 'near_dup_tfidf' WHEN r2.idx <> r2.a2 THEN 'exact_text' WHEN r2.idx <> r2.a1 THEN 'exact_file' ELSE '' END AS dup_method,
+CASE WHEN m.idx IS NOT NULL THEN round_even(m.s, 4) WHEN r2.st2 = 'removed' THEN 1.0 END AS similarity,
+CAST(coalesce(ac.cluster, cl.cluster) AS BIGINT) AS cluster_id
+FROM r2 CROSS JOIN last JOIN cl ON cl.idx = r2.idx LEFT JOIN m ON m.idx = r2.idx LEFT JOIN r2 an ON an.idx = m.ia LEFT JOIN cl ac ON ac.idx = m.ia LEFT JOIN r2 f1 ON f1.idx = r2.a1 LEFT JOIN r2 f2 ON f2.idx = r2.a2"""
+
+
+@query(_strict_sql)
+def near_dup_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """The three tiers, entities compared letter for letter in records read by OCR,
+    too, as SQL can."""
+    return _tiers(spark, folder, C.Dedupe(entity_similarity=1.0))
 
 
 # ---- state of earlier runs
@@ -334,9 +413,13 @@ def incremental_misses(spark: SparkSession, folder: str) -> DataFrame:
     return S.changed(_docs(spark, folder, "idx", "path", "size_bytes", "mtime"), _state(spark, folder)).select("idx", "path")
 
 
-@query("SELECT idx, max(run_at) AS run_at FROM doc_metadata GROUP BY idx")
+_FIELDS = ("entity_name", "contract_date", "description", "market", "sector", "servicing_team", "currency")
+
+
+@query(f"SELECT idx, run_at, {', '.join(_FIELDS)} FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY run_at DESC, {', '.join(f'{c} DESC NULLS LAST' for c in _FIELDS)}) AS n FROM doc_metadata) WHERE n = 1")
 def latest_state(spark: SparkSession, folder: str) -> DataFrame:
-    return S.latest(table(spark, folder, "doc_metadata"), "idx").select("idx", "run_at")
+    """What the last writer of each record left, in all columns."""
+    return S.latest(table(spark, folder, "doc_metadata").select("idx", "run_at", *_FIELDS), "idx")
 
 
 @query(f"WITH {_D} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS idx FROM d")
@@ -344,15 +427,15 @@ def path_order(spark: SparkSession, folder: str) -> DataFrame:
     return S.numbered(_docs(spark, folder, "path")).select("path", "idx")
 
 
-@query(f"""WITH {_D}, c AS (SELECT idx, CASE WHEN extraction_method = 'native_fitz' THEN coalesce(text, '') ELSE coalesce(substring(text, 1, 60), '') END AS n,
+@query(f"""WITH {_D}, c AS (SELECT idx, CASE WHEN extraction_method = 'native_fitz' THEN coalesce(text, '') ELSE '' END AS n,
 CASE WHEN extraction_method = 'pdfplumber' THEN coalesce(text, '') ELSE '' END AS s, CASE WHEN extraction_method = 'ocr' THEN coalesce(text, '') ELSE '' END AS o FROM d),
 z AS (SELECT *, length(regexp_replace(n, '^\\s+|\\s+$', '', 'g')) AS ln, length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) AS ls, length(regexp_replace(o, '^\\s+|\\s+$', '', 'g')) AS lo FROM c),
 y AS (SELECT *, ln < 120 AND ls > ln AS two, CASE WHEN ln < 120 AND ls > ln THEN ls ELSE ln END AS l2 FROM z)
 SELECT idx, CASE WHEN l2 < 120 AND lo > l2 THEN o WHEN two THEN s ELSE n END AS text, CASE WHEN l2 < 120 AND lo > l2 THEN 'ocr' WHEN two THEN 'pdfplumber' ELSE 'native_fitz' END AS extraction_method, l2 < 120 AS is_scanned FROM y""")
 def extraction_ladder(spark: SparkSession, folder: str) -> DataFrame:
     d = _docs(spark, folder, "idx", "text", "extraction_method")
-    of = lambda m, other: F.when(F.col("extraction_method") == m, F.col("text")).otherwise(other)
-    r = S.ladder(of("native_fitz", F.substring("text", 1, 60)), of("pdfplumber", F.lit("")), of("ocr", F.lit("")))
+    of = lambda m: F.when(F.col("extraction_method") == m, F.col("text"))
+    r = S.ladder(of("native_fitz"), of("pdfplumber"), of("ocr"))
     return d.select("idx", r.alias("r")).select("idx", "r.*")
 
 
@@ -384,12 +467,9 @@ def layout_plan(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_R}, s AS (SELECT idx, doc_type || regexp_extract(file_name, '.(\\.[^.]+)$', 1) AS file_name FROM r WHERE doc_type IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY idx) AS n FROM s) SELECT idx, {_NAME.format(n='n')} AS name FROM n")
 def unique_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names that many files share, one for each type and suffix."""
-    from pyspark.sql import Window
-
     r = _records(spark, folder, "idx", "file_name", "doc_type").where("doc_type is not null")
     r = r.select("idx", F.concat("doc_type", F.regexp_extract("file_name", r"(?<=.)(\.[^.]+)$", 1)).alias("file_name"))
-    n = F.row_number().over(Window.partitionBy("file_name").orderBy("idx"))
-    return r.withColumn("n", n).select("idx", L.unique_name(F.col("file_name"), F.col("idx"), F.col("n")).alias("name"))
+    return nth_in_group(r, ["file_name"], ["idx"], "n").select("idx", L.unique_name(F.col("file_name"), F.col("idx"), F.col("n") + 1).alias("name"))
 
 
 @query(f"WITH {_ROWS} SELECT count(*) AS total, count(*) FILTER (status = 'retained') AS retained, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'excluded') AS excluded_do_not_retain, count(*) FILTER (needs_review) AS needs_review, count(*) FILTER (is_scanned) AS scanned, count(*) FILTER (extraction_method = 'ocr') AS ocr_read, count(*) FILTER (extraction_method = 'failed') AS failed_extraction FROM t")
