@@ -12,21 +12,41 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _written: list[str] = []
 
 
+def _remove(path: str) -> None:
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _sweep() -> None:
-    """Tables on a file system of this machine, or mounted on it, go with the process."""
+    """Tables that are left go with the process: through Spark's file system while
+    there is a session, else those on a file system mounted on this machine."""
     for path in _written:
+        try:
+            _remove(path)
+        except Exception:  # the session is gone
+            pass
         if path.startswith(("file:", "/")):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Remove all tables written so far: for a session that goes on, once the results
+    of its queries are written.  Frames that read them are of no use afterwards."""
+    while _written:
+        _remove(_written.pop())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode, where the
     setting may be unset, a temporary folder of this process."""
@@ -66,11 +86,20 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_cut_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(path)
+            if path in _written:
+                _written.remove(path)
 
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
+
+
+def bounded(df: DataFrame, most: int = 100_000) -> list[Row]:
+    """All rows of a table that is small by its nature; more than ``most`` are an error,
+    so that none is ever left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows where a small fixed one is expected")
+    return rows
