@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import bounded, cut, drop
 from .components import connected_groups
 
 # Fixed values.
@@ -142,7 +142,7 @@ def soft_match(a: list[str], wa: list[float], b: list[str], wb: list[float]) ->
     """(soft weighted similarity, tokens of a and of b without a match, whether
     an initial was matched)."""
     A, B = dict(zip(a, wa)), dict(zip(b, wb))
-    got, edits, initial = 0.0, 0, False
+    got, initial = 0.0, False
     left, right = list(a), list(b)
     for t in a:
         if t in right:
@@ -155,7 +155,6 @@ def soft_match(a: list[str], wa: list[float], b: list[str], wb: list[float]) ->
             left.remove(x)
             right.remove(y)
             got += A[x] * B[y] * (1 - d / max(len(x), len(y)))
-            edits += d
     for one, two, P, R in ((left, right, A, B), (right, left, B, A)):
         for x in list(one):
             for y, z in [(y, z) for y in two for z in two if y is not z]:
@@ -164,7 +163,6 @@ def soft_match(a: list[str], wa: list[float], b: list[str], wb: list[float]) ->
                     two.remove(y)
                     two.remove(z)
                     got += P[x] * math.hypot(R[y], R[z]) * (1 - d / len(x))
-                    edits += d
     for one, two in ((left, right), (right, left)):
         for x in list(one):
             hit = [y for y in two if len(x) == 1 and len(y) > 1 and y[0] == x]
@@ -174,7 +172,7 @@ def soft_match(a: list[str], wa: list[float], b: list[str], wb: list[float]) ->
                 got += 0.5 * {**A, **B}[x] * {**A, **B}[hit[0]]
                 initial = True
     norm = math.sqrt(sum(w * w for w in wa)) * math.sqrt(sum(w * w for w in wb))
-    return (got / norm if norm and edits <= 3 else 0.0), left, right, initial
+    return (got / norm if norm else 0.0), left, right, initial
 
 
 def _grams(core: list[str]) -> set[int]:
@@ -278,16 +276,6 @@ def name_readings(names: DataFrame, trades: set[str], nick: dict[str, str]) -> D
     return names.mapInPandas(read, "name string, key string, core array<string>, trade string, grams array<long>")
 
 
-def trade_words(names: DataFrame, share: float = 0.02, least: int = 50) -> set[str]:
-    """Last words but one, without legal forms, that stand in at least ``share``
-    of all names (and ``least`` of them): at most ``1 / share`` words."""
-    w = F.split(F.lower(F.regexp_replace("name", r"[^\p{L}\s]", "")), r"\s+")
-    n = names.count()
-    at = names.select(F.explode(F.array_distinct(w)).alias("w")).where(F.length("w") >= 4).groupBy("w").count()
-    found = {r["w"] for r in at.where(F.col("count") >= max(least, share * n)).collect()}
-    return found - {t for form in LEGAL for t in form}
-
-
 def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5) -> DataFrame:
     """(name, entity) for each distinct non-empty string of column ``name``:
     strings with the same ``entity`` mean the same.
@@ -297,8 +285,7 @@ def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5)
     lower case; it may be empty.
     """
     names = names.select("name").where(F.col("name").rlike(r"[\p{L}\p{N}]")).distinct()
-    trades = set(TRADES) | trade_words(names)
-    read = cut(name_readings(names, trades, nick).withColumn("id", F.xxhash64("key")), "readings")
+    read = cut(name_readings(names, set(TRADES), nick).withColumn("id", F.xxhash64("key")), "readings")
     keys = read.groupBy("id").agg(F.first("core").alias("core"), F.first("trade").alias("trade"), F.first("grams").alias("grams"))
     # Token weights: rare tokens count more.
     total = keys.count()
@@ -372,6 +359,8 @@ def name_pairs(entities: DataFrame) -> DataFrame:
     return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
 
 
-def nicknames(alias: DataFrame) -> dict[str, str]:
-    """Short form to given name, lower case, of a small fixed table."""
-    return {_plain(r["short_form"]): _plain(r["given_name"]) for r in alias.where("short_form is not null and given_name is not null").limit(5000).collect()}
+def nicknames(alias: DataFrame, most: int = 100_000) -> dict[str, str]:
+    """Short form to given name, lower case, of a small fixed table; one of more than
+    ``most`` rows is an error."""
+    rows = bounded(alias.where("short_form is not null and given_name is not null").select("short_form", "given_name"), most)
+    return {_plain(r["short_form"]): _plain(r["given_name"]) for r in rows}

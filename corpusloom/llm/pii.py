@@ -55,31 +55,33 @@ _STOP = set(
     "agreement contract letter memo memorandum notice notices".split()
 )
 _COMPANY = {w for w in TRADES} | {w for f in LEGAL for w in f if len(w) > 2}
+# Kinds of words in front of an item and behind it.
 _PRE = [
-    ("signed", r"(?:signed by|sign[ée]+e? par|وقعه)\s*$"),
-    ("attn", r"(?:attn|attention|à l[’']attention de|f\.?a\.?o)\s*:?\s*$"),
-    ("contact", r"(?:contact|contact person|responsible|name|nom|الاسم)\s*:\s*$"),
-    ("thanks", r"(?:thanks|regards|sincerely|cordialement|yours truly|best)\s*,\s*$"),
-    ("stated", r"(?:statement of|testimony of|behalf of|représentée? par|represented by|care of|dear)\s*$"),
+    ("signed", r"(?:(?:signed|prepared|approved|written|witnessed|represented) by|(?:signé|représenté|rédigé)+e?s? par|وقعه|بحضور)\s*$"),
+    ("attn", r"(?:attn|attention|à l[’']attention de|f\.?a\.?o|dear|cher|chère)\s*[.:]?\s*$"),
+    ("person", r"(?:contact|person|name|nom|author|applicant|patient|tenant|guest|employee|الاسم)\s*:\s*$"),
+    ("thanks", r"(?:thanks|regards|sincerely|cordialement|truly|best|yours)\s*,\s*$"),
+    ("stated", r"\b(?:of|with|from|to|by|par|avec|de)\s*$"),
     ("mister", r"(?:السيد|السيدة|monsieur|madame)\s*$"),
-    ("phone", r"(?:tel|tél|telephone|téléphone|phone|mobile|portable|fax|call|cell|reached on|joindre(?: le)?|ring|whatsapp|هاتف|جوال|\bT|\bM)\s*[.:]*\s*$"),
-    ("id", r"(?:\bID|identity(?: number)?|passport(?: no| number)?|passeport(?: no| n°)?|identité(?: n°)?|national insurance|ssn|pan|licence no|الهوية|جواز السفر)\s*[.:#°]*\s*$"),
-    ("mail", r"(?:e-?mail|courriel|write to|écrire à|contact|drafts go to|cc|البريد|الإلكتروني)\s*:?\s*<?\s*$"),
-    ("live", r"(?:home is|residing at|resident of|lives at|living at|handed over at|deliver(?:ed)? to|address(?: is)?|adresse|demeurant(?: au)?|domiciled at|العنوان|located at)\s*:?\s*$"),
-    ("order", r"(?:order|reference|ref|readings?|version|invoice|clause|file|lot|table|total is [A-Z]{3}|replaces purchase order|units|and|serial|batch|account)\s*(?:no)?[.:#]*\s*$"),
-    ("between", r"(?:between|subject:.*/|with|against|vessel|next to the|the)\s*$"),
+    ("phone", r"(?:\b(?:tel|tél|telephone|téléphone|phone|mobile|portable|fax|cell|call|ring|dial|whatsapp|voicemail|T|M)|\breach\w*(?: \w+)? (?:on|at)|\b(?:joindre|appel\w*)(?: le)?|هاتف|جوال|اتصل)\s*[.:]*\s*$"),
+    ("id", r"(?:\bID|\bidentity(?: number| card)?|\bpassport|\bpasseport|\bidentité|\b(?:social security|national insurance|ssn|pan|tax id|driving licence|licence)|الهوية|جواز السفر)(?:\s*(?:no|number|n[°º]|num))?\s*[.:#°]*\s*$"),
+    ("mail", r"(?:\b(?:e-?mail|mail|courriel|mailto|cc|copy|reply to|write to|send(?: \w+)? to|écri\w+ à)|البريد|الإلكتروني|ايميل)\s*:?\s*<?\s*$"),
+    ("live", r"(?:\b(?:home|house|flat|office|premises|venue|keys?|residence|address|adresse)\b[^.:]*?(?: is| are| at| in)?|\b(?:residing|resident|lives?|living|dwells?|located|ship(?:ped)?|deliver(?:ed)?|sent|moved|domicil\w+|demeurant)(?: at| in| to| of| au)?|العنوان|يسكن(?: في)?)\s*:?\s*$"),
+    ("number", r"\b(?:order|reference|ref|reading|readings|version|model|invoice|docket|clause|chapter|case|file|lot|table|total|units|and|serial|batch|account|meter|counter|index|isbn|iban)\s*(?:no|number|is|shows)?[.:#]*\s*$"),
+    ("between", r"\b(?:between|entre|بين)\s*$"),
+    ("craft", r"\b(?:vessel|ship|boat|aboard|hotel|yacht|ferry)(?: the)?\s*$"),
 ]
 _POST = [
-    ("witness", r"^[,.]?\s*(?:attended|was recorded|a signé|signed|declared|confirmed in person|residing|of full age|born|holder of)"),
-    ("hours", r"^\s*(?:on arrival|during office hours|le matin|ext\b|after \d)"),
-    ("desk", r"^\s*(?:was checked|\))"),
-    ("before", r"^>?\s*(?:before the deadline|for copies|only)"),
-    ("counted", r"^\s*(?:units|boxes|mm\b|metres|holds|replaces|remain|pieces|and \d{6,}|lanes|AED|USD)"),
+    ("verb", r"^[,.]?\s*(?:(?:has|had|was|is|will|a|est)\s)?(?:attend\w*|record\w*|sign\w*|declar\w*|confirm\w*|said|says|wrote|agre\w*|resid\w*|born|holder|approv\w*|called|left|absent|présent\w*|déclar\w*)\b"),
+    ("hours", r"^\s*(?:on|during|at|before|after|le|between|ext|x)\b"),
+    ("goods", r"^\s*(?:units|boxes|pieces|parts|mm|cm|km|kg|metres|lanes|clicks|holds?|replaces?|remains?|and \d|[A-Z]{3}\b|%)"),
     ("bar", r"^\s*\|"),
-    ("title", r"^\.?\s+and\s"),
+    ("and", r"^\.?\s+(?:and|et)\s"),
 ]
-_PRE = [(k, re.compile(p, re.I)) for k, p in _PRE]
-_POST = [(k, re.compile(p, re.I)) for k, p in _POST]
+# The kind that reaches furthest back is taken, or the first of the list.
+_PRE = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PRE), re.I)
+_POST = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _POST), re.I)
+_STOPS, _LAST, _NEXT = re.compile(r"[.!?]\)?\s*$"), re.compile(r"([^\W\d_]+|[^\w\s])\W*$"), re.compile(r"\W*([^\W\d_]+)")
 
 _AT = r"(?:\s?[@＠]\s?|\s?[(\[{]\s?(?:at|AT|arobase)\s?[)\]}]\s?|\s(?:at|AT)\s(?=[\w-]+\s(?:dot|DOT)\s))"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|DOT)\s?[)\]}]\s?|\s(?:dot|DOT)\s)"
@@ -95,81 +97,149 @@ _TOKEN = rf"(?:{_TITLE}\b\.?|[A-ZÀ-ÖØ-Þ]\.(?!\w)|{_CAP})"
 _RUN = re.compile(rf"(?<![\w@.’'-]){_TOKEN}(?:(?:,\s|\s){_TOKEN})*(?![\w@])")
 _TOK = re.compile(_TOKEN)
 _IS_TITLE = re.compile(rf"{_TITLE}\.?$")
-#: Longest span of a name in tokens, longest run looked at around one name.
-NAME_TOKENS = 5
+_INITIAL = re.compile(r"[A-Z]\.$")
+#: Longest span of a name in tokens: the bound of a segment.
+NAME_TOKENS = 7
 
 
 def _class(token: str) -> str:
     if _IS_TITLE.match(token):
         return "T"
-    if re.fullmatch(r"[A-Z]\.", token):
+    if _INITIAL.match(token):
         return "I"
     base = "XX" if len(token) > 1 and token.upper() == token else "Xx"
     return base + "-" * ("-" in token)
 
 
-def _cues(line: str, i: int, j: int) -> list[str]:
-    before, behind = line[max(0, i - 40) : i], line[j : j + 28]
-    out = [f"pre={k}" for k, p in _PRE if p.search(before)] or ["pre=" + ("start" if not before.strip() else "stop" if re.search(r"[.!?]\)?\s*$", before) else "other")]
-    out += [f"post={k}" for k, p in _POST if p.search(behind)] or ["post=" + ("end" if not behind.strip(" .)>") else "stop" if behind[0] in ".,;)>" else "other")]
-    return out
+class _Cues:
+    """What stands before and behind a place of a line, each place read once."""
+
+    def __init__(self, line: str):
+        self.line = line
+        self.pre: dict[int, list[str]] = {}
+        self.post: dict[int, list[str]] = {}
+
+    def __call__(self, i: int, j: int) -> list[str]:
+        if i not in self.pre:
+            before = self.line[max(0, i - 40) : i]
+            m = _PRE.search(before)
+            out = ["pre=" + m.lastgroup] if m else ["pre=" + ("start" if not before.strip() else "stop" if _STOPS.search(before) else "other")]
+            if before.rstrip()[-1:] == ":":
+                out.append("colon")
+            if m := _LAST.search(before):
+                out.append("b=" + m.group(1).lower())
+            self.pre[i] = out
+        if j not in self.post:
+            behind = self.line[j : j + 28]
+            m = _POST.match(behind)
+            out = ["post=" + m.lastgroup] if m else ["post=" + ("end" if not behind.strip(" .)>,") else "stop" if behind[0] in ".,;)>" else "other")]
+            if m := _NEXT.match(behind):
+                out.append("a=" + m.group(1).lower())
+            self.post[j] = out
+        return self.pre[i] + self.post[j]
+
+
+_DIGIT = re.compile(r"\d")
+_AT_SIGNS = ("@", "＠", "(at", "( at", "[at", "[ at", "{at", "{ at", "(AT", "( AT", "[AT", "[ AT", "{AT", "{ AT", "arobase", " at ", " AT ")
+_ADDRESS_SIGNS = ("St", "Av", "AV", "R", "L", "B", "Dr", "Way", "Sq", "C", "Pl", "Ter", "High", "Par", "Q", "Al", "ST"), ("rue", "avenue", "boulevard", "place", "chemin", "allée", "impasse", "quai", "cours", "route"), ("Box", "BP", "B.P")
+_TOWN = re.compile(r"[^\W\d]\S*(?: [^\W\d]\S*)*$")
+_MAILISH = re.compile(r"[@＠]|[(\[{]\s?(?:at|AT|arobase)\s?[)\]}]|\s(?:at|AT)\s\S+\s(?:dot|DOT)\s")
+_EXT = re.compile(r"\s?(?:ext|x)\.?\s?\d{1,5}$")
+_GROUP = re.compile(r"[\dOo]+")
+#: Letters and digits in groups: what an identity number may be, whatever its form.
+_MIXED = re.compile(r"(?<![\w.,/@-])(?=[A-Z]{0,6}[ -]?\d)(?:[A-Z]{1,6}+|\d++)(?:[- ]?(?:[A-Z]{1,4}+(?![a-z])|\d++))*+(?![\w@%]|[-/.,]\d)")
+_CLOSING = re.compile(r"\s*(?:best |kind |warm )?(?:regards|thanks|wishes|sincerely|cordialement|yours)\b.*,?\s*$", re.I)
+_UNIT_IN = re.compile(rf"\b{_UNIT}\b|\b{_TOWER},")
+
+
+def _ends(line: str, i: int, j: int) -> Iterator[tuple[int, int]]:
+    """An address, and the same with fewer of the words at its end as the town: what is
+    written next may begin with a capital, too."""
+    yield i, j
+    comma = line.rfind(", ", i, j)
+    if comma > 0 and (m := _TOWN.search(line, comma, j)):
+        words = m.group().split(" ")
+        for n in range(1, len(words)):
+            yield i, j - len(" ".join(words[-n:])) - 1
+
+
+def _phones(line: str, cues: _Cues) -> Iterator[tuple[int, int, str, list[str]]]:
+    for m in _DIGITS.finditer(line):
+        i, j = m.span()
+        s = m.group()
+        core = _EXT.sub("", s)
+        groups = [len(g) for g in _GROUP.findall(core)]
+        n, sep = sum(groups), "".join(sorted(set(_GROUP.sub("", core)))) or "none"
+        lead = "plus" if s[0] == "+" else "paren" if s[0] == "(" else "00" if core.startswith("00") else "0" if core[0] in "0Oo" else "d"
+        f = [f"n={n}", "g=" + "-".join(map(str, groups)), "sep=" + sep, f"lead={lead}", f"lead={lead}&n={n}", f"sep={sep}&lead={lead}&k={len(groups)}", *cues(i, j)]
+        if core != s:
+            f.append("ext")
+        f.append("cue&0" if any(x in f for x in ("pre=phone", "post=bar")) else "nocue")
+        if line[max(0, i - 5) : i].rstrip()[-1:].isupper() and "pre=phone" not in f:
+            f.append("code")
+        yield i, j, "phone", f
+
+
+def _numbers(line: str, cues: _Cues) -> Iterator[tuple[int, int, str, list[str]]]:
+    seen = set()
+    for p in (_CODE, _MIXED):
+        for m in p.finditer(line):
+            s, span = m.group(), m.span()
+            digits = sum(c.isdigit() for c in s)
+            if span in seen or digits < 4:
+                continue
+            seen.add(span)
+            shape = re.sub(r"[A-Z]+", lambda x: "A" * min(len(x.group()), 5), re.sub(r"\d+", lambda x: str(len(x.group())) + ".", s))
+            f = ["shape=" + re.sub(r"[- ]", "", shape)[:12], "head=" + ("784" if s.startswith("784") else "9" if s[0] == "9" else "A" if s[0].isalpha() else "d"), f"digits={min(digits, 20)}", "form" if p is _CODE else "noform", *cues(*span)]
+            f.append(("idcue&" if "pre=id" in f else "noidcue&") + f[3])
+            f += [x + "&" + f[3] for x in f if x.startswith("pre=")]
+            yield *span, "id_number", f
 
 
 def spans(line: str, common: frozenset[str], given: frozenset[str], before: str = "") -> list[tuple[int, int, str, list[str]]]:
-    """(start, end, kind, features) of all spans of ``line`` that can be an item.
-    ``common``: ordinary words in lower case; ``given``: given names; ``before``:
-    the line above."""
+    """(start, end, kind, features) of all spans of ``line`` that can be an item:
+    runs of letters, digits or capitalised words of any form, whatever stands
+    around them.  ``common``: ordinary words in lower case; ``given``: given
+    names; ``before``: the line above."""
     out: list[tuple[int, int, str, list[str]]] = []
     mails: list[tuple[int, int]] = []
-    if re.search(r"[@＠]|[(\[{]\s?at\s?[)\]}]|\sat\s\S+\sdot\s", line, re.I):
+    cues = _Cues(line)
+    if any(x in line for x in _AT_SIGNS) and _MAILISH.search(line):
         for m in _EMAIL.finditer(line):
             s = m.group()
             mails.append(m.span())
-            out.append((*m.span(), "email", ["plain" if re.fullmatch(r"[\w.+'-]+@[\w.-]+", s) else "veiled", *_cues(line, *m.span())]))
-    if any(c.isdigit() for c in line):
-        for m in _DIGITS.finditer(line):
-            i, j = m.span()
-            s = m.group()
-            core = re.sub(r"\s?(?:ext|x)\.?\s?\d{1,5}$", "", s)
-            groups = [len(g) for g in re.findall(r"[\dOo]+", core)]
-            n = sum(groups)
-            sep = "".join(sorted(set(re.sub(r"[\dOo]", "", core)))) or "none"
-            f = [f"n={n}", "g=" + "-".join(map(str, groups)), "sep=" + sep, *_cues(line, i, j)]
-            f.append("lead=" + ("plus" if s[0] == "+" else "paren" if s[0] == "(" else "00" if core.startswith("00") else "0" if core[0] in "0Oo" else "d"))
-            if core != s:
-                f.append("ext")
-            cued = [x for x in f if x.startswith(("pre=", "post="))]
-            f.append("cue&0" if any(x in ("pre=phone", "post=hours", "post=bar") for x in cued) else "nocue")
-            out.append((i, j, "phone", f))
-        for m in _CODE.finditer(line):
-            s = m.group()
-            shape = re.sub(r"[A-Z]+", lambda x: "A" * min(len(x.group()), 5), re.sub(r"\d+", lambda x: str(len(x.group())) + ".", s))
-            f = ["shape=" + re.sub(r"[- ]", "", shape)[:12], "head=" + ("784" if s.startswith("784") else "9" if s[0] == "9" else "A" if s[0].isalpha() else "d"), *_cues(line, *m.span())]
-            out.append((*m.span(), "id_number", f))
+            out.append((*m.span(), "email", ["plain" if re.fullmatch(r"[\w.+'-]+@[\w.-]+", s) else "veiled", *cues(*m.span())]))
+    if _DIGIT.search(line):
+        out += _phones(line, cues)
+        out += _numbers(line, cues)
         for k, p in enumerate(_ADDRESS):
-            for m in p.finditer(line):
-                i, j = m.span()
+            # a word without which the form can't be there
+            if not any(x in line for x in _ADDRESS_SIGNS[k]):
+                continue
+            for i, j in (e for m in p.finditer(line) for e in _ends(line, *m.span())):
                 # a town doesn't end in an ordinary word: that begins the next sentence
                 while (last := re.search(r"\s+([^\W\d]+)$", line[i:j])) and (last[1].lower() in common or last[1].lower() in _STOP) and last[1] not in ("Street", "Avenue", "Road", "Lane"):
                     j = i + last.start()
                 s = line[i:j].rstrip(" ,")
                 j = i + len(s)
-                f = [f"form={k}", *_cues(line, i, j)]
-                if re.search(rf"\b{_UNIT}\b|\b{_TOWER},", s):
+                f = [f"form={k}", *cues(i, j)]
+                if _UNIT_IN.search(s):
                     f.append("unit")
-                num = bool(re.search(r"\d", s))
+                f.append(f"town={len(s.rpartition(', ')[2].split())}")
+                f.append("cut" if line[j : j + 1] == " " and line[j + 1 : j + 2].isupper() else "whole")
+                num = bool(_DIGIT.search(s))
                 f += ["num" if num else "nonum", "city" if "," in s and k < 2 else "nocity", f"num&{'city' if ',' in s else 'nocity'}"]
                 if sum(w.lower() in common for w in re.findall(r"\w+", s)) >= 2:
                     f.append("common")
                 out.append((i, j, "address", f))
-    closing = bool(re.match(r"\s*(?:best |kind )?(?:regards|thanks|sincerely|cordialement|yours)\b.*,?\s*$", before, re.I))
+    closing = bool(_CLOSING.match(before))
     for m in _RUN.finditer(line):
         toks = [(t.start() + m.start(), t.end() + m.start(), t.group()) for t in _TOK.finditer(m.group())]
         part: list[tuple[int, int, str]] = []
         parts = []
         for t in toks:
             low = t[2].lower().rstrip(".")
-            if not _IS_TITLE.match(t[2]) and not re.fullmatch(r"[A-Z]\.", t[2]) and (low in common or low in _STOP) and low not in given:
+            if (low in common or low in _STOP) and low not in given and not _IS_TITLE.match(t[2]) and not _INITIAL.match(t[2]):
                 parts.append(part)
                 part = []
             else:
@@ -181,13 +251,14 @@ def spans(line: str, common: frozenset[str], given: frozenset[str], before: str
                     own = part[x : y + 1]
                     cls = [_class(t[2]) for t in own]
                     words = [t for t, c in zip(own, cls) if c[0] == "X"]
-                    if not words or cls[-1] in ("T", "I") or "T" in cls[1:] or (len(own) == 1):
-                        continue
                     i, j = own[0][0], own[-1][1]
+                    alone = not line[:i].strip() and not line[j:].strip(" .,\r")
+                    if not words or cls[-1] in ("T", "I") or "T" in cls[1:] or (len(own) == 1 and not (alone and closing)):
+                        continue
                     commas = line[i:j].count(",")
                     if commas > 1:
                         continue
-                    f = ["cls=" + (" ".join(cls) if not commas else " ".join(cls) + ","), *_cues(line, i, j)]
+                    f = ["cls=" + (" ".join(cls) if not commas else " ".join(cls) + ","), *cues(i, j)]
                     known = any(t[2].lower().split("-")[0] in given for t in words)
                     f.append("given" if known else "nogiven")
                     firstw = words[-1] if commas else words[0]
@@ -198,20 +269,18 @@ def spans(line: str, common: frozenset[str], given: frozenset[str], before: str
                     f.append("left" if x and part[x - 1][1] + 1 >= i else "noleft")
                     f.append("right" if y + 1 < len(part) and part[y + 1][0] <= j + 2 else "noright")
                     around = re.findall(r"[\w.'’/]+", line[j : j + 34])[:2]
-                    if any(w.lower().replace(".", "").replace("'", "") in _COMPANY for w in [t[2] for t in words]):
+                    if any(t[2].lower().replace(".", "").replace("'", "") in _COMPANY for t in words):
                         f.append("trade")
                     if around and (around[0].lower().replace(".", "") in _COMPANY or len(around) > 1 and around[1].lower().replace(".", "") in _COMPANY and around[0][:1].isupper()):
                         f.append("company")
-                    if not line[:i].strip() and not line[j:].strip(" .,\r"):
+                    if alone:
                         f += ["alone", "alone&" + ("given" if known else "nogiven")]
                         if closing:
                             f.append("closing")
                     if re.match(r"\s?(?:@|＠|[(\[]at)", line[j:]) or any(a <= i < b for a, b in mails):
                         f.append("inmail")
-                    if any(c in f for c in ("pre=signed", "pre=attn", "pre=contact", "pre=thanks", "pre=stated", "pre=mister", "post=witness")):
-                        f.append("cued")
-                    else:
-                        f.append("uncued&" + ("title" if cls[0] == "T" else "given" if known else "none"))
+                    who = "title" if cls[0] == "T" else "given" if known else "none"
+                    f += [f"{c}&{who}" for c in f if c.startswith(("pre=", "post=")) or c == "colon"]
                     out.append((i, j, "name", f))
     return out
 

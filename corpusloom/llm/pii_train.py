@@ -14,11 +14,24 @@ from . import pii
 LINES = 6000
 
 _SYL = "ba ce do fi gu ha je ki lo mu na pe qui ro sa te vi wo xa ye zu bri cla dre flo gri kle mor nel pol ran ster tal vor zan lin kut".split()
-_PLAIN = (
-    "The supplier may calibrate the medical supplies with prior consultation. / Each party agrees to approve the certificates at the prevailing rate. / Accordingly, the insurer will sign in triplicate. / "
-    "Upon request, the tenant shall return the samples. / Le client doit remettre la garantie bancaire. / At all times, the vendor must verify the payroll files. / In consequence, the landlord accepts delivery. / "
-    "يراجع المؤجر وثيقة التأمين دون تأخير. / Chaque partie rembourse le calendrier. / Subject to the foregoing, the guarantor undertakes to store the boxes."
-).split(" / ")
+_POOL = (
+    "garden river market window engine winter orchard bridge lantern teacher harvest museum kitchen ladder mountain village library station barrel blanket meadow hammer saddle pocket corner summer evening morning story letter bottle candle forest island valley copper silver wooden "
+    "narrow gentle quiet heavy early later slowly often walk carry build watch paint repair gather follow borrow measure polish open close bring keep find lose read send water bread paper stone cloud rain glass wheel table chair floor roof wall bell song game road street lane avenue works "
+    "le la une des dans pour avec jardin marché fenêtre rivière lettre porter garder ouvrir trouver chaque petit grand"
+).split()
+_ARABIC = "حديقة نهر سوق نافذة رسالة صباح مساء كتاب جسر قرية يحمل يفتح يكتب".split()
+
+
+def _plain(r: random.Random) -> str:
+    """A sentence, a heading or a list of ordinary words."""
+    pool = _ARABIC if r.random() < 0.12 else _POOL
+    w = [r.choice(pool) for _ in range(r.randint(3, 9))]
+    u = r.random()
+    if u < 0.2:
+        return " ".join(x.capitalize() for x in w[:4])
+    if u < 0.3:
+        return " ".join(w[:4]).upper()
+    return " ".join([w[0].capitalize(), *w[1:]]) + r.choice([".", ".", ".", "", ";", " - " + r.choice(pool)])
 
 
 def _word(r: random.Random, lo: int = 2, hi: int = 3) -> str:
@@ -44,7 +57,7 @@ def _phone(r: random.Random) -> str:
 def _id(r: random.Random) -> str:
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     a = lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
-    return r.choice([f"784-19{d(2)}-{d(7)}-{d(1)}", f"784 19{d(2)} {d(7)} {d(1)}", f"78419{d(2)}{d(8)}", f"9{d(2)}-{d(2)}-{d(4)}", f"QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"{r.choice('KNPZ')}{d(7)}", f"{a(5)}{d(4)}{a(1)}"])
+    return r.choice([f"784-19{d(2)}-{d(7)}-{d(1)}", f"784 19{d(2)} {d(7)} {d(1)}", f"78419{d(2)}{d(8)}", f"9{d(2)}-{d(2)}-{d(4)}", f"QQ {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}", f"{r.choice('KNPZ')}{d(7)}", f"{a(5)}{d(4)}{a(1)}", d(r.choice([8, 9, 10, 11])), f"{a(2)}{d(6)}{a(1)}"])
 
 
 def _mail(r: random.Random) -> str:
@@ -63,23 +76,28 @@ def _address(r: random.Random) -> str:
 
 
 _FRAME = {
-    "name": ["signed by {}", "Attn: {}", "Contact person: {}", "Thanks, {}", "Regards, {}", "The statement of {} was recorded.", "{} attended as a witness.", "représenté par {}", "À l’attention de {}", "{} a signé.", "السيد {}", "وقعه {}", "{}", "{} residing at the above."],
-    "phone": ["Tel. {}", "T {}", "Call {} on arrival.", "Mobile: {}", "He can be reached on {} during office hours.", "Joindre le {} le matin.", "هاتف {}", "جوال: {}", "{}", "Tél. {}", "Phone: {}"],
-    "id_number": ["Emirates ID: {}", "Identity number {} was checked at the desk.", "holder of passport no. {}", "National identity: {}", "(ID {})", "رقم الهوية {}", "Passeport {}.", "Pièce d’identité n° {}"],
-    "email": ["Contact: {}", "E-mail {} before the deadline.", "Write to {} for copies.", "Drafts go to <{}> only.", "cc {}", "Écrire à {}.", "البريد: {}", "Courriel : {}", "{}"],
-    "address": ["Her home is {}.", "residing at {}", "The keys were handed over at {}.", "Deliver to: {}", "Address: {}", "Adresse : {}", "العنوان: {}", "demeurant {}"],
+    "name": ["We met {} at noon.", "Patient: {}", "Author: {}", "Guest: {}", "Dear {},", "Yours, {}", "Best, {}", "{} said so twice.", "{} wrote the report.", "According to {} it rained.", "prepared by {}", "approved by {} in May", "attention {}", "In the presence of {}", "{} is absent.", "{} has signed.", "An interview with {} follows.",
+             "The letter of {} was lost.", "Madame {}", "rédigé par {}", "{} est présent", "السيدة {}", "بحضور {}", "{}", "{} called in the evening.", "Tenant: {}", "Name: {}", "The house belongs to {}.", "We thank {} for the loan.", "{}, born in spring, agrees.", "Sincerely, {}"],
+    "phone": ["Ring {}", "Phone {}", "Telephone: {}", "Fax {}", "Cell {} only", "Dial {} now.", "WhatsApp {}", "She is reached at {} after six.", "Appelez le {} le soir", "Portable : {}", "اتصل {}", "{}", "T. {}", "M: {}", "Leave voicemail at {} before five.", "Our number is {}, day and night.", "tél {}"],
+    "id_number": ["SSN {}", "social security {}", "Passport: {}", "passport number {} is valid", "ID no. {}", "national ID {}", "Identity card {} was shown.", "tax ID {}", "(PAN {})", "carte d’identité {}", "numéro de passeport {}", "passeport n° {}", "رقم الهوية {}", "جواز السفر: {}", "driving licence {}", "National insurance {}"],
+    "email": ["Mail me at {}", "Reply to {}", "e-mail: {}", "mailto:{}", "Copy {} in.", "Send it to {} today.", "Questions? <{}>", "courriel {}", "Envoyez-le à {}", "ايميل {}", "{}", "Ask {} or wait", "The address <{}> is new."],
+    "address": ["We live at {}.", "Ship to: {}", "Our office at {} is closed.", "located at {}", "They moved to {}.", "Home: {}", "The flat is at {}.", "domicilié au {}", "يسكن في {}", "Parcels are delivered to {}", "Venue: {}", "Residence: {}", "living in {}", "adresse {}", "The key is at {}."],
 }
 _MAKE = {"name": _name, "phone": _phone, "id_number": _id, "email": _mail, "address": _address}
 
 
 def _decoy(r: random.Random) -> str:
+    """Numbers and capitals that are no item."""
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    g = r.choice(sorted(pii.GIVEN)).capitalize()
+    a = lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
+    g = lambda: r.choice(sorted(pii.GIVEN)).capitalize()
+    noun = r.choice(["Docket", "Invoice", "Batch", "Serial", "Model", "Account", "Lot", "Order", "Chapter", "Index", "File", "Case", "Version", "Counter", "Meter"])
+    number = r.choice([d(7), d(9), d(6), f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(4)} {d(4)}", f"{d(2)} {d(3)} {d(4)}", f"{d(3)}.{d(4)}.{d(2)}", f"{d(4)}/{d(3)}", f"{d(1)}.{d(1)}.{d(1)}", f"{a(3)}-20-{d(4)}-{d(4)}", f"{a(2)}-{d(4)}-{d(5)}", f"{d(2)}-{d(2)}", d(4)])
     return r.choice(
-        [f"Meter readings: {d(7)} and {d(7)} units.", f"Order reference {d(3)}-{d(2)}-{d(4)} replaces purchase order {d(9)}.", f"Version {d(3)}.{d(4)}.{d(2)} holds {d(3)} boxes; see table 4-12.", f"The rate is 4.5% @ par and the total is AED {d(3)},{d(4)}.00.", f"Clause 7.1.2 and case file {d(4)}/{d(3)} remain open.",
-         f"Street lighting along the road is outside the scope.", f"Avenue and lane widths follow table 7, {d(4)} mm each.", f"Lot {d(2)} needs {d(3)} metres of road and {d(1)} lanes of kerb.", f"The vessel {g} berths at bay {d(2)} next to the {r.choice(sorted(pii.GIVEN)).capitalize()}.", "Mr. and Mrs. are titles, not names; email is not a notice.",
-         f"Invoice INV-20-{d(4)}-{d(4)} is overdue.", f"Between {_company(r)} and the adviser", f"Subject: Fees / {_company(r)}", _company(r), "MEMORANDUM OF UNDERSTANDING", f"TERM - {r.choice(['Work Order', 'Proforma Invoice', 'Engagement Letter', 'Vendor Registration Form'])}", f"Section 3.2.14 of the annex is dated 2022-0{d(1)}-1{d(1)}.",
-         "The passport office and the identity desk are closed on Fridays.", d(19), f"Between {_word(r)} {_word(r)} and the adviser, {g} Street works are delayed.", f"For and on behalf of {_company(r)}", f"{g} {_company(r)} agreed.", f"Batch {d(3)}-{d(2)}-{d(4)} was shipped.", f"Account {d(3)} {d(4)} {d(4)} remains open.", f"Serial {d(2)} {d(3)} {d(4)}"]
+        [f"{noun} {number} is closed.", f"{noun} no. {number}", f"{noun.lower()} {number} and {noun.lower()} {d(9)}", f"The counter shows {d(7)} and {d(7)} clicks.", f"{d(3)} boxes hold {d(4)} pieces of {d(2)} mm", f"USD {d(3)},{d(3)}.00", f"{d(2)} lamps @ {d(1)}.5 each", f"5.5% @ noon", f"GB{d(2)} {a(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"IBAN {a(2)}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}", f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", d(19), d(16),
+         f"On 2021-0{d(1)}-1{d(1)} at 10:{d(2)}", f"Point {d(2)}.{d(4)}, {d(2)}.{d(4)}", f"The ship {g()} lies beside the {g()}.", f"aboard the {g()}", f"Hotel {g()} is full", f"{g()} Street works go on.", f"{_word(r)} Road is narrow", "Street lamps on the avenue", f"Lane {d(1)} and road {d(2)}", f"{d(3)} metres of road",
+         f"Between {_company(r)} and the buyer", f"Between {_word(r)} {_word(r)} and the buyer", f"Entre {_word(r)} {_word(r)} et", f"Prices / {_company(r)}", f"Prices / {_word(r)} {_word(r)}", _company(r), f"Client: {_company(r)}", f"Company: {_company(r)}", f"For {_company(r)}", f"{g()} {_company(r)} agreed.", f"Owner: {_word(r)} {_company(r)}", f"The sale to {_company(r)} was signed.", f"{_company(r)} has signed.",
+         "Mr. or Mrs. may be left out", "Identity papers and a passport are needed.", "The phone and the mail are down.", f"Identity of {d(2)} guests", "Name and address below", f"Call on day {d(1)}"]
     )
 
 
@@ -91,7 +109,7 @@ def line(r: random.Random) -> tuple[str, set[tuple[int, int, str]], str]:
             text += r.choice([" ", " ", " ", "  ", " | "]) if not text.endswith(" ") else ""
         u = r.random()
         if u < 0.25:
-            text += r.choice(_PLAIN)
+            text += _plain(r)
         elif u < 0.45:
             text += _decoy(r)
         else:
@@ -99,25 +117,29 @@ def line(r: random.Random) -> tuple[str, set[tuple[int, int, str]], str]:
             frame = r.choice(_FRAME[k])
             item = _MAKE[k](r)
             if frame == "{}" and text and k == "name":
-                frame = r.choice(_FRAME[k][:8])
+                frame = r.choice([x for x in _FRAME[k] if x != "{}"])
             i = len(text) + frame.index("{}")
             text += frame.replace("{}", item)
             gold.add((i, i + len(item), k))
     if len(gold) == 1 and r.random() < 0.2:
         item = _name(r)
-        text, gold, above = item, {(0, len(item), "name")}, r.choice(["Regards,", "Thanks,", "Yours sincerely,", ""])
+        if r.random() < 0.15:
+            text, gold, above = (g := r.choice(sorted(pii.GIVEN)).capitalize()), {(0, len(g), "name")}, r.choice(["Best wishes,", "Thanks,", "Kind regards,"])
+            return text, gold, above
+        text, gold, above = item, {(0, len(item), "name")}, r.choice(["Warm regards,", "Many thanks,", "Yours truly,", "Cordialement,", ""])
     return text, gold, above
 
 
 def sample(n: int, seed: int) -> list[tuple[list, set]]:
     r = random.Random(seed)
-    words = frozenset(w.strip(".,").lower() for p in _PLAIN for w in p.split()) - pii.GIVEN
+    words = frozenset(w.lower() for w in _POOL) - pii.GIVEN
     out = []
     for _ in range(n):
         t, gold, above = line(r)
         # a tenth of the given names isn't known, as in other texts
         given = frozenset(x for x in pii.GIVEN if r.random() < 0.9)
-        cand = pii.spans(t, words, given, above)
+        # any single word may be missing in front and behind
+        cand = [(i, j, k, [x for x in f if x[:2] not in ("b=", "a=") or r.random() < 0.6]) for i, j, k, f in pii.spans(t, words, given, above)]
         out.append((cand, gold))
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from ..plans.cut import bounded, cut
 from ..sources.tables import table
 from .components import connected_groups, record_groups
 from .names import name_pairs, nicknames, same_names
@@ -83,9 +83,10 @@ def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, folder: str) -> tuple[list[str], list[str]]:
-    """Two small fixed tables: ordinary words, and given names in all forms."""
-    common = [r["word"] for r in table(spark, folder, "lexicon", "word").limit(100_000).collect() if r["word"]]
-    given = [x for r in table(spark, folder, "name_alias").limit(100_000).collect() for x in r if x]
+    """Two small fixed tables: ordinary words, and given names in all forms; larger
+    ones are an error."""
+    common = [r["word"] for r in bounded(table(spark, folder, "lexicon", "word")) if r["word"]]
+    given = [x for r in bounded(table(spark, folder, "name_alias", "given_name", "short_form")) for x in r if x]
     return common, given
 
 
