@@ -57,6 +57,8 @@ LOOKALIKE = str.maketrans("013458", "oleasb")
 Q = 4
 SHARE = 0.4
 BUCKETS = 1 << 16
+#: Readings with a gram in common from which it takes two grams to compare them.
+HOT = 2000
 #: Readings with a form in common up to which all of them are compared.
 FEW = 24
 #: Tokens of a reading up to which each two are also taken as one.
@@ -276,7 +278,21 @@ def name_readings(names: DataFrame, trades: set[str], nick: dict[str, str]) -> D
     return names.mapInPandas(read, "name string, key string, core array<string>, trade string, grams array<long>")
 
 
-def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5) -> DataFrame:
+def _prefix_keys(grams: list[int], keep: int, freq: np.ndarray, hot: int) -> set[int]:
+    """Keys by which a set of grams, rare ones first, meets others.  A gram that more
+    than ``hot`` sets have is a key only together with each other gram of the set: sets
+    alike enough have two in common, but for those of so few grams that one is
+    enough, which keep it alone as well."""
+    out: set[int] = set()
+    for x in grams[:keep]:
+        if freq[x % BUCKETS] > hot:
+            out |= {zlib.crc32(f"{min(x, y)} {max(x, y)}".encode()) + (1 << 32) for y in grams if y != x}
+        if freq[x % BUCKETS] <= hot or SHARE * len(grams) <= 2:
+            out.add(x)
+    return out
+
+
+def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5, hot: int = HOT) -> DataFrame:
     """(name, entity) for each distinct non-empty string of column ``name``:
     strings with the same ``entity`` mean the same.
 
@@ -310,7 +326,7 @@ def same_names(names: DataFrame, nick: dict[str, str], similarity: float = 0.5)
                     bit = (x * 2654435761 >> 7) & 127
                     sketch[bit >> 6] ^= 1 << (bit & 63)
                 s, t = (x - (1 << 64) if x >> 63 else x for x in sketch)
-                out += [(int(x), i, len(g), s, t) for x in g[:keep]]
+                out += [(k, i, len(g), s, t) for k in _prefix_keys(g.tolist(), keep, freq, hot)]
             yield pd.DataFrame(out, columns=["g", "id", "n", "s", "t"])
 
     pre = keys.select("id", "grams").mapInPandas(prefixes, "g long, id long, n int, s long, t long")

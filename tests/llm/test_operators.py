@@ -5,9 +5,11 @@ import math
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import names
 from corpusloom.llm.components import connected_groups, record_groups, record_links
 from corpusloom.llm.names import form_pairs, name_pairs, osa, read_name, same_names, soft_match
 from corpusloom.llm.nearsets import Classes, alike_pairs, alike_sets
@@ -164,6 +166,24 @@ def test_same_names(spark):
     assert same_names(spark.createDataFrame([], "name string"), {}).count() == 0
 
 
+def test_hot_grams_lose_no_pair():
+    """Sets that share enough grams have a key in common, whatever grams are hot."""
+    r = random.Random(12)
+    freq = np.zeros(names.BUCKETS, np.int64)
+    grams = list(range(40))
+    for g in grams:
+        freq[g] = r.choice([1, 5, 50])
+    sets = [set(r.sample(grams, r.choice([1, 2, 3, 4, 5, 8, 14]))) for _ in range(250)]
+    for hot in (0, 10, 100):
+        keys = []
+        for x in sets:
+            g = sorted(x, key=lambda y: (freq[y], y))
+            keys.append(names._prefix_keys(g, len(g) - math.ceil(names.SHARE * len(g) - 1e-9) + 1, freq, hot))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if len(sets[i] & sets[j]) >= names.SHARE * len(sets[i] | sets[j]):
+                assert keys[i] & keys[j], (hot, sets[i], sets[j])
+
+
 def test_swap_inside_a_short_token(spark):
     a = ["Viumro Zuclape Technologies Ltd", "Vimuro Zuclape Technologies Ltd"]
     b = ["Zawnolo Virolo Engineering FZCO", "Zanwolo Virolo Engineering FZC"]
