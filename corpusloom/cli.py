@@ -12,7 +12,7 @@ from .session import session
 
 
 def _parser(spec: str):
-    """``method=module:function``, a function from bytes to (text, pages)."""
+    """``method=module:function``, a function from bytes and their source to (text, pages)."""
     method, _, target = spec.partition("=")
     module, _, name = target.partition(":")
     return method, getattr(importlib.import_module(module), name)
@@ -24,6 +24,8 @@ def main(args: list[str] | None = None) -> dict:
     p.add_argument("--output", required=True)
     p.add_argument("--parser", action="append", default=[], help="method=module:function, in the order they are tried")
     p.add_argument("--similarity", type=float)
+    p.add_argument("--threads", type=int, help="tasks at once of a local session; a cluster has its own executors")
+    p.add_argument("--state", help="where the state of runs is kept: a table, or lines of JSON (.jsonl)")
     p.add_argument("--no-ocr", action="store_true")
     p.add_argument("--no-copy", action="store_true")
     a = p.parse_args(args)
@@ -32,7 +34,10 @@ def main(args: list[str] | None = None) -> dict:
         cfg = replace(cfg, dedupe=replace(cfg.dedupe, similarity=a.similarity))
     if a.no_ocr:
         cfg = replace(cfg, ingest=replace(cfg.ingest, enable_ocr=False))
-    return run(session(), cfg, [_parser(s) for s in a.parser], copy=not a.no_copy)
+    if a.threads is not None and a.threads < 1:
+        p.error("--threads must be 1 or more")
+    local = {"spark.master": f"local[{a.threads}]"} if a.threads else {}
+    return run(session(**local), cfg, [_parser(s) for s in a.parser], copy=not a.no_copy, state=a.state)
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
+ROOT, TOGETHER = "01_classified", "Consolidated"
 DUPLICATE, EXCLUDED, SKIPPED = "(not copied — duplicate)", "(not copied — DO NOT RETAIN)", "(copy skipped)"
 
 
@@ -21,7 +22,7 @@ def unique_name(name: Column, idx: Column, nth: Column) -> Column:
     return F.when(nth == 1, name).otherwise(F.concat(stem, F.lit("__"), idx.cast("string"), suffix))
 
 
-def layout_plan(rows: DataFrame, root: str = "01_classified", together: str = "Consolidated") -> DataFrame:
+def layout_plan(rows: DataFrame, root: str = ROOT, together: str = TOGETHER) -> DataFrame:
     """``rows`` with ``target_folder`` and ``consolidated_path``.
 
     Excluded files go to a folder of their own, duplicates nowhere, the rest to

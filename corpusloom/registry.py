@@ -19,7 +19,7 @@ from .plans.cut import cut, scratch
 from .plans.pipeline import analyse
 from .plans.ranks import nth_in_group
 from .sources import files as S
-from .sources.sinks import flat
+from .sources.sinks import append_state, flat, put_files
 from .sources.tables import table
 from .streaming.incremental import arrivals
 
@@ -439,6 +439,27 @@ def extraction_ladder(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("idx", r.alias("r")).select("idx", "r.*")
 
 
+@query(f"""WITH {_D}, n AS (SELECT idx, text, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM d WHERE text IS NOT NULL)
+SELECT idx, idx || '.pdf' AS file_name, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS file_sha256, text, 'native_fitz' AS extraction_method, n < 120 AS is_scanned, sha256({_NORM}) AS text_sha256 FROM n""")
+def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts as files of a folder, which are found, read and hashed."""
+    at = scratch(spark, "files")
+    d = _docs(spark, folder, "idx", "text").where("text is not null").select(F.col("idx").alias("name"), "text")
+    put_files(d.select(F.concat(F.col("name").cast("string"), F.lit(".pdf")).alias("name"), "text"), at)
+    read = S.extract(S.scan(spark, at), [("native_fitz", lambda data, source: (data.decode(), 1))])
+    return read.select(F.regexp_extract("file_name", r"^(\d+)", 1).cast("int").alias("idx"), "file_name", "size_bytes", "file_sha256", "text", "extraction_method", "is_scanned", "text_sha256")
+
+
+@query(f"SELECT idx, run_at, {', '.join(_FIELDS)} FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY run_at DESC, {', '.join(f'{c} DESC NULLS LAST' for c in _FIELDS)}) AS n FROM doc_metadata) WHERE n = 1")
+def state_as_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of all runs as lines of JSON with broken ones among them, read again."""
+    at = scratch(spark, "state") + ".jsonl"
+    rows = table(spark, folder, "doc_metadata").select("idx", "run_at", *_FIELDS)
+    append_state(rows, at)
+    spark.createDataFrame([("{broken",), ("",), ("[1, 2",)], "value string").coalesce(1).write.mode("append").text(at)
+    return S.latest(S.read_state(spark, at, rows._jdf.schema().toDDL()), "idx")
+
+
 # ---- layout and report
 
 

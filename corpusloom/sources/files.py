@@ -2,35 +2,58 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Ingest
 from ..functions.text import normalise, text_hash
 from ..plans.ranks import global_rank
 
-#: One step of extraction: the bytes of a file to its text and number of pages.
-Parser = Callable[[bytes], tuple[str, int]]
-_OUT = "path string, file_name string, size_bytes long, page_count int, text string, extraction_method string, file_sha256 string, is_scanned boolean, error string, mtime timestamp"
+@dataclass(frozen=True)
+class Source:
+    """What a parser is told of a file: where it is, and the settings of the run, such as
+    how many pages to read, at what resolution and in what language."""
+
+    path: str
+    settings: Ingest
+
+
+#: One step of extraction: the bytes of a file and its source to its text and number of pages.
+Parser = Callable[[bytes, Source], tuple[str, int]]
+_OUT = "path string, page_count int, text string, extraction_method string, is_scanned boolean, error string"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> DataFrame:
     """(path, modificationTime, length, content) of the files below ``folder``.
-    An absent folder, or one without such a file, is an error."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    if not p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p):
+    An absent folder, or one without such a file, is an error.  A file that can't
+    be read has no row here, but one in the listing that ``extract`` makes of it."""
+    if not exists(spark, folder):
         raise ValueError(f"the source folder doesn't exist: {folder}")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    if not df.select("path").take(1):
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+    if not df.inputFiles():
         raise ValueError(f"no matching file below {folder}")
     return df
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """(path, length, modificationTime) of all files the scan was planned with, the last
+    two null for one that has gone since; no content is read."""
+    planned = [(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    return files.sparkSession.createDataFrame(planned, "path string").join(files.select("path", "length", "modificationTime"), "path", "left")
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -61,15 +84,13 @@ def extract(files: DataFrame, steps: list[tuple[str, Parser]], cfg: Ingest | Non
     and OCR; a later step is tried only while the text is too short, and taken
     only if it gives more.  A step that fails adds to ``error`` and the next one
     is tried; a file on which all fail is ``failed`` with an empty text.  The
-    parsers run on the executors and must be importable there.
+    parsers are given the settings of the run; they run on the executors and must
+    be importable there.
     """
     cfg = cfg or Ingest()
     least = cfg.min_native_chars
 
-    def one(path: str, data: bytes | None, size: int, mtime) -> tuple:
-        name = path.rsplit("/", 1)[-1]
-        if data is None:
-            return path, name, size, 0, "", "failed", f"__unreadable__:{path}", False, "unreadable", mtime
+    def one(path: str, data: bytes) -> tuple:
         text, pages, how, scanned, errors = "", 0, "failed", False, []
         for k, (method, parse) in enumerate(steps):
             if k and len(text.strip()) >= least:
@@ -79,22 +100,37 @@ def extract(files: DataFrame, steps: list[tuple[str, Parser]], cfg: Ingest | Non
                 if not cfg.enable_ocr:
                     continue
             try:
-                got, n = parse(bytes(data))
+                got, n = parse(bytes(data), Source(path, cfg))
             except Exception as e:
                 errors.append(f"{method}: {e}")
                 continue
             pages = pages or n
             if how == "failed" or len(got.strip()) > len(text.strip()):
                 text, how = got, method
-        return path, name, size, pages, text, how, hashlib.sha256(bytes(data)).hexdigest(), scanned or len(text.strip()) < least, " | ".join(errors) or None, mtime
+        return path, pages, text, how, scanned or len(text.strip()) < least, " | ".join(errors) or None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.strip().split(" ")[0] for x in _OUT.split(",")]
         for pdf in parts:
             yield pd.DataFrame([one(*r) for r in pdf.itertuples(index=False)], columns=names)
 
-    out = files.select("path", "content", "length", "modificationTime").mapInPandas(run, _OUT)
-    return out.withColumn("text_sha256", text_hash(normalise(F.col("text"))))
+    facts = files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("file_sha256"), F.col("modificationTime").alias("mtime"))
+    text = files.select("path", "content").mapInPandas(run, _OUT)
+    return _finished(text.join(facts, "path"))
+
+
+def unreadable(missing: DataFrame) -> DataFrame:
+    """Rows, as of ``extract``, of files (path, length, modificationTime) that couldn't be
+    read: failed, each with a hash of its own."""
+    lit = lambda v, t: F.lit(v).cast(t)
+    return _finished(missing.select(
+        "path", lit(0, "int").alias("page_count"), lit("", "string").alias("text"), lit("failed", "string").alias("extraction_method"), lit(False, "boolean").alias("is_scanned"), lit("unreadable", "string").alias("error"),
+        F.coalesce("length", lit(0, "long")).alias("size_bytes"), F.concat(F.lit("__unreadable__:"), "path").alias("file_sha256"), F.col("modificationTime").alias("mtime"),
+    ))
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file_name", file_name(F.col("path"))).withColumn("text_sha256", text_hash(normalise(F.col("text"))))
 
 
 def latest(state: DataFrame, key: str = "path", order: str = "run_at") -> DataFrame:
@@ -116,10 +152,8 @@ def changed(files: DataFrame, state: DataFrame, keys: tuple[str, ...] = ("path",
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines of JSON of earlier runs; broken lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-
-
-def first_in_group(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """State of earlier runs: a table, or, of a name that ends in ``.jsonl``, lines of
+    JSON, of which broken ones are left out."""
+    if path.endswith(".jsonl"):
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(schema).parquet(path)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.layout import ROOT, TOGETHER
 from ..operators.report import TRACKER, tracker_rows
 
 # Fills of the tracker's rows.
@@ -31,7 +34,9 @@ def write_csv(rows: DataFrame, path: str) -> str:
 
 
 def append_state(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Add to the state of a run; as lines of JSON if the name ends in ``.jsonl``."""
+    w = rows.write.mode("append")
+    (w.json if path.endswith(".jsonl") else w.parquet)(path)
 
 
 def _cell(ref: str, value, style: int) -> str:
@@ -86,7 +91,7 @@ def write_xlsx(rows: list[Row], summary: list[tuple[str, object]], path: str) ->
     return path
 
 
-def write_tracker(rows: DataFrame, summary: list[tuple[str, object]], path: str) -> str:
+def write_tracker(rows: DataFrame, summary: list[tuple[str, object]], path: str, log: Callable[[str], None] = print) -> str:
     """The tracker as a workbook, if a sheet can hold it, else (or if that fails)
     as CSV.  Only a table that fits a sheet comes to the driver."""
     t = tracker_rows(rows)
@@ -95,21 +100,67 @@ def write_tracker(rows: DataFrame, summary: list[tuple[str, object]], path: str)
         if n > SHEET_ROWS:
             raise ValueError("too many rows for a sheet")
         return write_xlsx(t.orderBy("idx").collect(), summary, path)
-    except Exception:
+    except Exception as e:
+        log(f"no workbook: {e}; the tracker is written as CSV")
         return write_csv(t, re.sub(r"\.xlsx$", "", path) + ".csv")
 
 
-def copy_files(rows: DataFrame, output: str) -> None:
-    """Copy each file to its places below ``output``, on the executors."""
+def clear_folders(spark: SparkSession, output: str, names: tuple[str, ...] = (ROOT, TOGETHER)) -> None:
+    """Remove what earlier runs copied."""
+    sc = spark.sparkContext
+    for name in names:
+        p = sc._jvm.org.apache.hadoop.fs.Path(f"{output}/{name}")
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
-    def copy(part) -> None:
-        import shutil
 
-        for r in part:
-            for dest in (r["target_folder"], r["consolidated_path"]):
-                if dest and not dest.startswith("("):
-                    to = Path(output) / dest
-                    to.parent.mkdir(parents=True, exist_ok=True)
-                    shutil.copy2(re.sub(r"^file:/*", "/", r["path"]), to)
+def _file_system(path: str):
+    """(file system, path in it) of a path with or without a scheme."""
+    from pyarrow import fs
 
-    rows.select("path", "target_folder", "consolidated_path").foreachPartition(copy)
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else "file://" + os.path.abspath(path))
+
+
+def put_files(texts: DataFrame, folder: str) -> int:
+    """Write each (name, text) as a file of ``folder``, on the executors; their number."""
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        to, at = _file_system(folder)
+        to.create_dir(at, recursive=True)
+        for pdf in parts:
+            for name, text in zip(pdf["name"], pdf["text"]):
+                with to.open_output_stream(f"{at}/{name}") as f:
+                    f.write(text.encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return texts.select("name", "text").mapInPandas(put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def copy_files(rows: DataFrame, output: str) -> DataFrame:
+    """Copy each file of ``rows`` to its places below ``output``, on the executors and
+    on whatever file system the paths name, and return ``rows`` with the places;
+    of a copy that fails ``(copy failed: ...)`` takes the place.  Use ``cut`` on the
+    result: each evaluation copies."""
+
+    def copy(path: str, dest: str | None) -> str | None:
+        from pyarrow import fs
+
+        if not dest or dest.startswith("("):
+            return dest
+        try:
+            target = f"{output.rstrip('/')}/{dest}"
+            (a, x), (b, y) = _file_system(path), _file_system(target)
+            b.create_dir(os.path.dirname(y), recursive=True)
+            fs.copy_files(x, y, source_filesystem=a, destination_filesystem=b)
+            return target
+        except Exception as e:
+            return f"(copy failed: {e})"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for c in ("target_folder", "consolidated_path"):
+                pdf[c] = [copy(p, d) for p, d in zip(pdf["path"], pdf[c])]
+            yield pdf
+
+    places = rows.select("path", "target_folder", "consolidated_path").mapInPandas(run, "path string, target_folder string, consolidated_path string")
+    return rows.drop("target_folder", "consolidated_path").join(places, "path")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom import config as C
 from corpusloom.operators.layout import layout_plan
 from corpusloom.operators.report import TRACKER, column_widths, run_summary
-from corpusloom.plans.pipeline import run
+from corpusloom.plans.cut import cut
+from corpusloom.plans.pipeline import ingest, run
 from corpusloom.sources import files as S
-from corpusloom.sources.sinks import write_csv, write_tracker, write_xlsx
+from corpusloom.sources.sinks import copy_files, write_csv, write_tracker, write_xlsx
 from corpusloom.streaming.incremental import arrivals, documents, enrich_to, first_deliveries
 
 
@@ -34,7 +35,7 @@ def test_scan_errors(spark, tmp_path):
 
 
 def test_run(spark, tmp_path):
-    def parse(data: bytes):
+    def parse(data: bytes, source):
         if data.startswith(b"broken"):
             raise ValueError("not a document")
         return data.decode(), 1
@@ -59,9 +60,78 @@ def test_run(spark, tmp_path):
             parseString(z.read(n))
         assert b"Contracts" in z.read("xl/worksheets/sheet1.xml")
     # a second run reads nothing again and says the same
-    again = run(spark, cfg, steps, copy=False, log=seen.append)
+    (out / "Consolidated" / "stale.pdf").write_text("old")
+    again = run(spark, cfg, steps, log=seen.append)
     assert {k: again[k] for k in ("total", "retained", "removed")} == {k: got[k] for k in ("total", "retained", "removed")}
     assert spark.read.parquet(f"{out}/state").count() == 6
+    # the folders are built anew, and a damaged state is an error
+    assert not (out / "Consolidated" / "stale.pdf").exists() and (out / "Consolidated" / "a.pdf").exists()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        ingest(spark, cfg, steps, str(tmp_path / "bad")).count()
+
+
+def test_settings_reach_the_parsers(spark, tmp_path):
+    (tmp_path / "a.pdf").write_text("p1|p2|p3|p4")
+
+    def ocr(data: bytes, source):
+        pages = data.decode().split("|")[: source.settings.ocr_max_pages]
+        return f"{source.settings.ocr_lang} {source.settings.ocr_dpi} {source.path[-5:]} " + " ".join(pages), 4
+
+    for most, want in ((2, "deu 200 a.pdf p1 p2"), (None, "deu 200 a.pdf p1 p2 p3 p4")):
+        cfg = C.Ingest(ocr_max_pages=most, ocr_dpi=200, ocr_lang="deu")
+        got = S.extract(S.scan(spark, str(tmp_path)), [("ocr", ocr)], cfg).first()
+        assert (got["text"], got["extraction_method"], got["is_scanned"]) == (want, "ocr", True)
+    off = S.extract(S.scan(spark, str(tmp_path)), [("ocr", ocr)], C.Ingest(enable_ocr=False)).first()
+    assert (off["text"], off["extraction_method"]) == ("", "failed")
+
+
+def test_files_that_cannot_be_read_or_copied(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for n in ("a", "b", "c", "d e"):
+        (src / f"{n}.pdf").write_text(n * 200)
+    files = S.scan(spark, str(src))
+    (src / "b.pdf").unlink()
+    listed = S.listing(files)
+    assert listed.count() == 4 and listed.where("length is null").count() == 1
+    read = S.extract(files, [("native_fitz", lambda data, source: (data.decode(), 1))])
+    lost = S.unreadable(listed.join(read, "path", "left_anti")).collect()
+    assert [(r["file_name"], r["extraction_method"], r["error"]) for r in lost] == [("b.pdf", "failed", "unreadable")] and lost[0]["file_sha256"].startswith("__unreadable__:")
+    rows = listed.withColumns({"target_folder": F.concat(F.lit("x/"), F.right("path", F.lit(5))), "consolidated_path": F.lit("(not copied — duplicate)")})
+    got = {r["path"][-5:]: r["target_folder"] for r in cut(copy_files(rows, str(tmp_path / "out")), "c").collect()}
+    assert got["a.pdf"].endswith("/out/x/a.pdf") and (tmp_path / "out" / "x" / "c.pdf").exists() and got["b.pdf"].startswith("(copy failed: ")
+
+
+def test_backup_after_a_failure(spark, tmp_path, monkeypatch):
+    import corpusloom.plans.pipeline as pl
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text("TASK ORDER\n" + "goods " * 40)
+    monkeypatch.setattr(pl, "copy_files", lambda *a: 1 / 0)
+    said = []
+    with pytest.raises(ZeroDivisionError):
+        run(spark, C.Config(source=str(tmp_path / "in"), output=str(tmp_path / "out")), [("native_fitz", lambda data, source: (data.decode(), 1))], log=said.append)
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out" / "EMERGENCY_BACKUP.csv")).first()["file_name"] == "a.pdf"
+
+
+def test_state_as_lines(spark, tmp_path):
+    state = str(tmp_path / "s.jsonl")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text("x" * 200)
+    cfg = C.Config(source=str(tmp_path / "in"), output=str(tmp_path / "out"))
+    reads = spark.sparkContext.accumulator(0)
+
+    def parse(data, source):
+        reads.add(1)
+        return data.decode(), 1
+
+    for n in (1, 2):
+        assert [r["text"] for r in ingest(spark, cfg, [("native_fitz", parse)], state).collect()] == ["x" * 200]
+    assert reads.value == 1
+    (tmp_path / "s.jsonl" / "more.json").write_text("{broken\n")
+    assert ingest(spark, cfg, [("native_fitz", parse)], state).count() == 1
 
 
 def test_ladder(spark):

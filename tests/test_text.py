@@ -78,9 +78,15 @@ def test_tables():
     assert set(C.PRIORITY) == set(C.KEYWORDS)
 
 
-def test_progress():
-    assert P.percent("scan", 1, 2) == 1.5 and P.percent("extract", 0, 0) == 45 and P.percent("nowhere", 1, 2, 7.0) == 7.0
-    assert P.percent("done", 0, 0) == 100.0 and P.percent("dedupe", 9, 3) == 83
-    assert P.seconds_left(10, 1) is None and P.seconds_left(10, None) is None and P.seconds_left(10, 50) == 10
-    assert [P.tell_left(x) for x in (None, 0.5, 45, 125)] == ["Estimating time remaining...", "Almost done...", "About 45s remaining", "About 2m 05s remaining"]
-    assert [P.tell_elapsed(x) for x in (0, 59.6, 61)] == ["0s", "1m 00s", "1m 01s"]
+def test_progress(spark):
+    now, told = [0.0], []
+    p = P.Progress(lambda *x: told.append(x), clock=lambda: now[0])
+    assert p.at("scan", 1, 2) == 1.5 and p.at("extract", 0, 0) == 45 and p.at("nowhere", 1, 2) == 45
+    assert p.at("dedupe", 9, 3) == 83 and p.at("done", 0, 0) == 100 and p.left is None and len(told) == 5
+    for percent, seconds, words in ((1, 10, "Estimating time remaining..."), (50, 0, "Estimating time remaining..."), (99.9, 10, "Almost done..."), (50, 45, "About 45s remaining"), (50, 125, "About 2m 05s remaining")):
+        p.percent, now[0] = percent, seconds
+        assert str(p) == words
+    assert [P.spell(x) for x in (0, 59.6, 61)] == ["0s", "1m 00s", "1m 01s"]
+    with p.watching(spark, "dedupe", every=0.01):
+        spark.range(1000).repartition(4).count()
+    assert p.percent == 83 and {x[0] for x in told[5:]} == {"dedupe"}
