@@ -55,7 +55,7 @@ def ingest(spark: SparkSession, cfg: C.Config, steps: list[tuple[str, S.Parser]]
     if state and S.exists(spark, state):
         old = S.latest(S.read_state(spark, state, f"{_STATE}, settings string, run_at timestamp").where(F.col("settings") == mark).select(*_NAMES, "run_at"))
     new = keyed if old is None else S.changed(keyed, old)
-    read = S.extract(found.join(new.select("path"), "path", "left_semi"), steps, i)
+    read = S.extract(S.with_empty(found, listed).join(new.select("path"), "path", "left_semi"), steps, i)
     got = cut(read.select(*_NAMES), "extracted")
     missing = S.unreadable(new.join(got.select("path"), "path", "left_anti")).select(*_NAMES)
     if state:

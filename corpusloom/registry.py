@@ -446,7 +446,8 @@ def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
     at = scratch(spark, "files")
     d = _docs(spark, folder, "idx", "text").where("text is not null").select(F.col("idx").alias("name"), "text")
     put_files(d.select(F.concat(F.col("name").cast("string"), F.lit(".pdf")).alias("name"), "text"), at)
-    read = S.extract(S.scan(spark, at), [("native_fitz", lambda data, source: (data.decode(), 1))])
+    found = S.scan(spark, at)
+    read = S.extract(S.with_empty(found, S.listing(found)), [("native_fitz", lambda data, source: (data.decode(), 1))])
     return read.select(F.regexp_extract("file_name", r"^(\d+)", 1).cast("int").alias("idx"), "file_name", "size_bytes", "file_sha256", "text", "extraction_method", "is_scanned", "text_sha256")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,6 +30,10 @@ Parser = Callable[[bytes, Source], tuple[str, int]]
 _OUT = "path string, page_count int, text string, extraction_method string, is_scanned boolean, error string"
 
 
+#: Times as JSON, to the microsecond.
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,11 +52,37 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.{pdf,PDF}") -> Data
     return df
 
 
+def file_system(path: str):
+    """(file system, path in it) of a path with or without a scheme."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else "file://" + os.path.abspath(path))
+
+
 def listing(files: DataFrame) -> DataFrame:
     """(path, length, modificationTime) of all files the scan was planned with, the last
-    two null for one that has gone since; no content is read."""
+    two null for one that has gone since; no content is read.  Empty files, which
+    the scan leaves out, are looked up one by one, on the executors."""
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for path in pdf["path"]:
+                system, at = file_system(path)
+                info = system.get_file_info(at)
+                rows.append((path, info.size, info.mtime_ns // 1000 if info.mtime_ns is not None else None) if info.is_file else (path, None, None))
+            yield pd.DataFrame({"path": [r[0] for r in rows], "length": pd.array([r[1] for r in rows], "Int64"), "us": pd.array([r[2] for r in rows], "Int64")})
+
     planned = [(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
-    return files.sparkSession.createDataFrame(planned, "path string").join(files.select("path", "length", "modificationTime"), "path", "left")
+    seen = files.select("path", "length", "modificationTime")
+    rest = files.sparkSession.createDataFrame(planned, "path string").join(seen, "path", "left_anti")
+    return seen.unionByName(rest.mapInPandas(look, "path string, length long, us long").select("path", "length", F.timestamp_micros("us").alias("modificationTime")))
+
+
+def with_empty(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """``files`` of ``scan`` and the empty ones of its ``listing``."""
+    return files.select("path", "modificationTime", "length", "content").unionByName(listed.where("length = 0").select("path", "modificationTime", "length", F.lit(bytearray()).alias("content")))
 
 
 def file_name(path: Column) -> Column:
@@ -155,5 +186,5 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """State of earlier runs: a table, or, of a name that ends in ``.jsonl``, lines of
     JSON, of which broken ones are left out."""
     if path.endswith(".jsonl"):
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").options(**MICROS).json(path)
     return spark.read.schema(schema).parquet(path)

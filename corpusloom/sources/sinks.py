@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import ROOT, TOGETHER
 from ..operators.report import TRACKER, tracker_rows
+from .files import MICROS, file_system
 
 # Fills of the tracker's rows.
 FILLS = {"header": "1F4E78", "review": "FFF2CC", "removed": "F2F2F2", "excluded": "F8CBAD"}
@@ -36,7 +37,7 @@ def write_csv(rows: DataFrame, path: str) -> str:
 def append_state(rows: DataFrame, path: str) -> None:
     """Add to the state of a run; as lines of JSON if the name ends in ``.jsonl``."""
     w = rows.write.mode("append")
-    (w.json if path.endswith(".jsonl") else w.parquet)(path)
+    w.options(**MICROS).json(path) if path.endswith(".jsonl") else w.parquet(path)
 
 
 def _cell(ref: str, value, style: int) -> str:
@@ -113,19 +114,11 @@ def clear_folders(spark: SparkSession, output: str, names: tuple[str, ...] = (RO
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _file_system(path: str):
-    """(file system, path in it) of a path with or without a scheme."""
-    from pyarrow import fs
-
-    path = re.sub(r"^file:/+", "/", path)
-    return fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else "file://" + os.path.abspath(path))
-
-
 def put_files(texts: DataFrame, folder: str) -> int:
     """Write each (name, text) as a file of ``folder``, on the executors; their number."""
 
     def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        to, at = _file_system(folder)
+        to, at = file_system(folder)
         to.create_dir(at, recursive=True)
         for pdf in parts:
             for name, text in zip(pdf["name"], pdf["text"]):
@@ -149,7 +142,7 @@ def copy_files(rows: DataFrame, output: str) -> DataFrame:
             return dest
         try:
             target = f"{output.rstrip('/')}/{dest}"
-            (a, x), (b, y) = _file_system(path), _file_system(target)
+            (a, x), (b, y) = file_system(path), file_system(target)
             b.create_dir(os.path.dirname(y), recursive=True)
             fs.copy_files(x, y, source_filesystem=a, destination_filesystem=b)
             return target

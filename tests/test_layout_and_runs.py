@@ -36,7 +36,7 @@ def test_scan_errors(spark, tmp_path):
 
 def test_run(spark, tmp_path):
     def parse(data: bytes, source):
-        if data.startswith(b"broken"):
+        if data.startswith(b"broken") or not data:
             raise ValueError("not a document")
         return data.decode(), 1
 
@@ -48,12 +48,14 @@ def test_run(spark, tmp_path):
     (src / "b.PDF").write_text(body + " One further clause.")
     (src / "c.pdf").write_text("broken")
     (src / "d.pdf").write_text("Hi")
+    (src / "f.pdf").write_text("")
+    (src / "g.pdf").write_text("")
     (src / "e.pdf").write_text("TAX INVOICE\nNo 7\n" + "Goods and freight. " * 10)
     cfg = C.Config(source=str(src), output=str(out))
     seen = []
     steps = [("native_fitz", parse), ("pdfplumber", parse)]
     got = run(spark, cfg, steps, log=seen.append)
-    assert {k: got[k] for k in ("total", "retained", "removed", "excluded_do_not_retain", "failed_extraction", "scanned")} == {"total": 6, "retained": 3, "removed": 2, "excluded_do_not_retain": 1, "failed_extraction": 1, "scanned": 2}
+    assert {k: got[k] for k in ("total", "retained", "removed", "excluded_do_not_retain", "failed_extraction", "scanned")} == {"total": 8, "retained": 4, "removed": 3, "excluded_do_not_retain": 1, "failed_extraction": 3, "scanned": 4}
     assert (out / "Consolidated" / "a.pdf").exists() and (out / "01_classified" / "_DO_NOT_RETAIN" / "Invoice" / "e.pdf").exists()
     with zipfile.ZipFile(got["tracker"]) as z:
         for n in z.namelist():
@@ -63,7 +65,7 @@ def test_run(spark, tmp_path):
     (out / "Consolidated" / "stale.pdf").write_text("old")
     again = run(spark, cfg, steps, log=seen.append)
     assert {k: again[k] for k in ("total", "retained", "removed")} == {k: got[k] for k in ("total", "retained", "removed")}
-    assert spark.read.parquet(f"{out}/state").count() == 6
+    assert spark.read.parquet(f"{out}/state").count() == 8
     # the folders are built anew, and a damaged state is an error
     assert not (out / "Consolidated" / "stale.pdf").exists() and (out / "Consolidated" / "a.pdf").exists()
     (tmp_path / "bad").mkdir()
