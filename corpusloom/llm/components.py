@@ -28,6 +28,8 @@ from ..plans.cut import cut, drop
 #: While a round of stripping and compressing leaves less than this share of
 #: the links, another one follows; then the core is solved.
 WORTHWHILE = 0.7
+#: Rows up to which a side of a join may be sent to all tasks.
+SMALL = 20_000
 
 
 def links(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -48,16 +50,22 @@ def _degrees(e: DataFrame) -> DataFrame:
     return both.groupBy(F.col("d.x").alias("x")).agg(F.count("*").alias("degree"), F.min("d.y").alias("low"))
 
 
-def _leaves(e: DataFrame) -> DataFrame:
+def _leaves(e: DataFrame, rows: int) -> DataFrame:
     """(child, parent) for each vertex of degree one; of a lone pair only the
     larger one is a child."""
     leaf = _degrees(e).where("degree = 1").select(F.col("x").alias("child"), F.col("low").alias("parent"))
-    mate = leaf.select(F.col("child").alias("m"))
+    mate = _side(leaf.select(F.col("child").alias("m")), rows)
     return leaf.join(mate, leaf.parent == mate.m, "left").where("m is null or child > parent").select("child", "parent")
 
 
-def _without(e: DataFrame, gone: DataFrame) -> DataFrame:
-    ids = gone.select(F.col("child").alias("g"))
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join: sent to all tasks only if it has few rows, which the size of
+    its file, written compressed, doesn't tell."""
+    return df.hint("merge") if rows > SMALL else df
+
+
+def _without(e: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
+    ids = _side(gone.select(F.col("child").alias("g")), rows)
     return e.join(ids, F.col("u") == F.col("g"), "left_anti").join(ids, F.col("v") == F.col("g"), "left_anti")
 
 
@@ -68,12 +76,12 @@ def _hooks(e: DataFrame, chains_only: bool) -> DataFrame:
     return (d.where("degree = 2") if chains_only else d).select(F.col("x").alias("child"), F.col("low").alias("parent"))
 
 
-def _ranked(hooks: DataFrame, tag: str) -> DataFrame:
+def _ranked(hooks: DataFrame, tag: str, rows: int) -> DataFrame:
     """List ranking: each child's last ancestor, in a number of rounds that is
     the logarithm of the longest run."""
     cur = cut(hooks, tag)
     while True:
-        nxt = cur.select(F.col("child").alias("c2"), F.col("parent").alias("p2"))
+        nxt = _side(cur.select(F.col("child").alias("c2"), F.col("parent").alias("p2")), rows)
         step = cut(
             cur.join(nxt, F.col("parent") == F.col("c2"), "left").select("child", F.coalesce("p2", "parent").alias("parent"), F.col("p2").isNotNull().alias("moved")),
             tag,
@@ -85,9 +93,9 @@ def _ranked(hooks: DataFrame, tag: str) -> DataFrame:
             return cur
 
 
-def _contracted(e: DataFrame, to: DataFrame) -> DataFrame:
-    a = to.select(F.col("child").alias("ca"), F.col("parent").alias("pa"))
-    b = to.select(F.col("child").alias("cb"), F.col("parent").alias("pb"))
+def _contracted(e: DataFrame, to: DataFrame, rows: int) -> DataFrame:
+    a = _side(to.select(F.col("child").alias("ca"), F.col("parent").alias("pa")), rows)
+    b = _side(to.select(F.col("child").alias("cb"), F.col("parent").alias("pb")), rows)
     r = e.join(a, F.col("u") == F.col("ca"), "left").join(b, F.col("v") == F.col("cb"), "left")
     return links(r.select(F.coalesce("pa", "u").alias("u"), F.coalesce("pb", "v").alias("v")), "u", "v")
 
@@ -102,21 +110,22 @@ def connected_groups(edges: DataFrame) -> DataFrame:
     """
     e = cut(links(edges, "u", "v"), "links")
     first, n = e, e.count()
+    most = n
     layers: list[DataFrame] = []
     core_only = False
     while n:
         before = n
         if not core_only:
-            gone = cut(_leaves(e), "leaves")
-            rest = cut(_without(e, gone), "rest")
+            gone = cut(_leaves(e, n), "leaves")
+            rest = cut(_without(e, gone, n), "rest")
             layers.append(gone)
             if e is not first:
                 drop(e)
             e, n = rest, rest.count()
             if not n:
                 break
-        to = _ranked(_hooks(e, not core_only), "hooks")
-        rest = cut(_contracted(e, to), "rest")
+        to = _ranked(_hooks(e, not core_only), "hooks", n)
+        rest = cut(_contracted(e, to, n), "rest")
         layers.append(to)
         if e is not first:
             drop(e)
@@ -129,14 +138,14 @@ def connected_groups(edges: DataFrame) -> DataFrame:
         if label is None:
             label = layer.select(F.col("child").alias("id"), F.col("parent").alias("root"))
         else:
-            up = label.select(F.col("id").alias("i2"), "root")
+            up = _side(label.select(F.col("id").alias("i2"), "root"), most)
             here = layer.join(up, F.col("parent") == F.col("i2"), "left").select(F.col("child").alias("id"), F.coalesce("root", "parent").alias("root"))
             label = cut(label.unionByName(here), "label")
     if label is None:
         return ids.select("id", F.col("id").alias("group"))
-    rooted = ids.join(label, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    rooted = ids.join(_side(label, most), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     low = rooted.groupBy("root").agg(F.min("id").alias("group"))
-    return rooted.join(low, "root").select("id", "group")
+    return rooted.join(_side(low, most), "root").select("id", "group")
 
 
 def file_key(c) -> F.Column:
