@@ -248,19 +248,19 @@ def _meet(t: float, h, size, role, s, left: np.ndarray, right: np.ndarray) -> np
 
 
 def _run_pairs(lo: np.ndarray, ln: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within runs (start, length), about ``most`` at a time."""
-    n = ln * (ln - 1) // 2
+    """Index pairs within runs (start, length), at most ``most`` at a time or those of
+    one member; a run that has more is taken member by member, over several times."""
+    # each member with those after it in its run
+    member = np.repeat(lo, ln) + np.arange(int(ln.sum())) - np.repeat(np.cumsum(ln) - ln, ln)
+    after = np.repeat(lo + ln, ln) - member - 1
+    upto = np.cumsum(after)
     done = 0
-    while done < len(ln):
-        upto = max(done + 1, int(np.searchsorted(np.cumsum(n[done:]), most, side="right")) + done)
-        a, b = lo[done:upto], ln[done:upto]
-        # each member with those after it in its run
-        member = np.repeat(a, b) + np.arange(int(b.sum())) - np.repeat(np.cumsum(b) - b, b)
-        after = np.repeat(a + b, b) - member - 1
-        left = np.repeat(member, after)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
-        yield left, right
-        done = upto
+    while done < len(member):
+        stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + most, side="right")))
+        m, n = member[done:stop], after[done:stop]
+        left = np.repeat(m, n)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        done = stop
 
 
 def _merger(t: float, long: int):

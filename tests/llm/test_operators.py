@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import names
 from corpusloom.llm.components import connected_groups, record_groups, record_links
 from corpusloom.llm.names import form_pairs, name_pairs, osa, read_name, same_names, soft_match
-from corpusloom.llm.nearsets import Classes, alike_pairs, alike_sets
+from corpusloom.llm.nearsets import Classes, _run_pairs, alike_pairs, alike_sets
 from corpusloom.llm.packing import fill_report, packed, plan, token_items
 from corpusloom.llm.residue import Reader, class_prints, filler_words, has_field, has_filler, key_parts, near_classes, residue, trust
 from corpusloom.llm.survivors import golden_records
@@ -351,3 +351,13 @@ def test_packed(spark):
     rep = fill_report(boxes, 64).first()
     assert rep["containers"] == len(load) and rep["tokens"] == sum(load.values()) and rep["containers"] <= rep["least_containers"] * 1.1 + 1
     assert packed(token_items(df.limit(0), "doc_id", "text", 64), 64).count() == 0
+
+
+def test_pairs_of_a_long_run_come_in_bounded_portions():
+    lo, ln = np.array([0, 3, 4]), np.array([3, 1, 300])
+    got = [list(zip(left.tolist(), right.tolist())) for left, right in _run_pairs(lo, ln, 500)]
+    assert max(map(len, got)) <= 500
+    assert sorted(p for x in got for p in x) == sorted((i, j) for a, n in zip(lo.tolist(), ln.tolist()) for i in range(a, a + n) for j in range(i + 1, a + n))
+    # one member's pairs stay together, however few are asked for
+    assert [len(left) for left, _ in _run_pairs(np.array([5]), np.array([4]), 2) if len(left)] == [3, 2, 1]
+    assert list(_run_pairs(np.zeros(0, np.int64), np.zeros(0, np.int64), 5)) == []
