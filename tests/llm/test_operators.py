@@ -191,6 +191,14 @@ def test_swap_inside_a_short_token(spark):
     assert {tuple(r) for r in name_pairs(same_names(df, {})).collect()} == {tuple(sorted(a)), tuple(sorted(b))}
 
 
+def test_rows_of_readings_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(names, "PIECE", 100)
+    rows = [(i, *u) for i in range(9) for u in names._units(["kutpedo", "zannavizannavi"])]
+    got = list(names._frames(iter(rows), ["id", "f", "p", "q"]))
+    assert max(len(x) for x in got) == 100 and [tuple(x) for f in got for x in f.itertuples(index=False)] == rows
+    assert not list(names._frames([], ["id"]))
+
+
 @pytest.mark.parametrize("few", [1, 4, 24])
 def test_no_acceptable_pair_is_missed(spark, few):
     r = random.Random(few)
