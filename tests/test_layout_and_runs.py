@@ -1,3 +1,5 @@
+import re
+import time
 import zipfile
 from datetime import datetime
 from xml.dom.minidom import parseString
@@ -190,3 +192,17 @@ def test_stream(spark, tmp_path):
     got = {r["idx"]: r["doc_type"] for r in spark.read.parquet(f"{out}/batch=*").collect()}
     assert got[1] == "PO" and len(got) == 2
     assert arrivals(stream, "run_at", "1 hour", "1 day").isStreaming
+
+
+def test_shuffle_files_go_when_a_table_is_cut(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+", disk.getAllFiles().mkString("\n")))
+    held = files()
+    out = cut(spark.range(1000).repartition(4, "id").groupBy("id").count(), "c")
+    for _ in range(50):  # they are removed at once, but not waited for
+        if not (left := files() - held):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 1000 and spark.conf.get(name, None) == before
